@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import mixing, tokens
+from siftwell.llm import credentials, mixing, tokens
 from siftwell.sources import read_table
 
 
+def _credential_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.texts(read_table(spark, sf_dir, "findings", "finding_no", "code_snippet"), read_table(spark, sf_dir, "tool_results", "tool_result_id", "content"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.locate(_credential_texts(spark, sf_dir)).select("origin", "row_id", "line_no")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.redact(_credential_texts(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -24,5 +36,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixture(spark, sf_dir), read_table(spark, sf_dir, "documents", "source"), read_table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 SQL: dict[str, str] = {}
