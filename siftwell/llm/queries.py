@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import credentials, mixing, tokens
+from siftwell.llm import credentials, mixing, sources_quality, tokens
 from siftwell.sources import read_table
 
 
@@ -20,6 +20,16 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redact(_credential_texts(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "findings", "repo", "file_path", "code_snippet", "start_line")
+    return sources_quality.not_hand_written(rows).select("repo", "file_path")
+
+
+def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "findings", "repo", "file_path", "code_snippet", "start_line")
+    return sources_quality.not_hand_written(rows)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -36,5 +46,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixture(spark, sf_dir), read_table(spark, sf_dir, "documents", "source"), read_table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
+    "p6_found": p6_found,
+    "p6_kinds": p6_kinds,
+    "p7_ids": p7_ids,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+}
 SQL: dict[str, str] = {}
