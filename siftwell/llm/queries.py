@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import credentials, mixing, sources_quality, tokens
+from siftwell.llm import credentials, mixing, sources_quality, tokens, truncation
 from siftwell.sources import read_table
 
 
@@ -20,6 +20,16 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redact(_credential_texts(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses, findings = read_table(spark, sf_dir, "responses", "response_id", "content"), read_table(spark, sf_dir, "findings", "finding_no", "code_snippet")
+    return truncation.truncated(truncation.texts_of(responses, findings))
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses, findings = read_table(spark, sf_dir, "responses", "response_id", "model"), read_table(spark, sf_dir, "findings", "finding_no", "feed")
+    return truncation.rates(p4_found(spark, sf_dir), responses, findings)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "findings", "repo", "file_path", "code_snippet", "start_line")
     return sources_quality.not_hand_written(rows).select("repo", "file_path")
@@ -49,6 +59,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p6_found": p6_found,
     "p6_kinds": p6_kinds,
     "p7_ids": p7_ids,
