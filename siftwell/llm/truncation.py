@@ -124,8 +124,8 @@ def truncated(texts: DataFrame) -> DataFrame:
     contexts = _sql("SELECT context, sum(ends + inside) AS uses FROM :grams: GROUP BY context", grams=grams)
     finals = _sql(
         r"""
-        SELECT origin, row_id, text, last, xxhash64(context, w1) AS gram, context FROM (
-          SELECT origin, row_id, text, element_at(split(text, '\n'), -1) AS last, w[size(w) - 1] AS w1,
+        SELECT origin, row_id, text, last, alone, xxhash64(context, w1) AS gram, context FROM (
+          SELECT origin, row_id, text, size(w) = 1 AS alone, element_at(split(text, '\n'), -1) AS last, w[size(w) - 1] AS w1,
                  xxhash64(origin, if(size(w) >= 3, w[size(w) - 3], '^'), if(size(w) >= 2, w[size(w) - 2], '^')) AS context
           FROM (SELECT *, split(trim(element_at(lines, -1)), '\\s+') AS w FROM :words:))
         """,
@@ -145,7 +145,7 @@ def truncated(texts: DataFrame) -> DataFrame:
         f"""
         SELECT f.origin, f.row_id, f.text, f.last, c.inside, c.ends
         FROM :finals: f JOIN :counts: c ON f.gram = c.gram
-        WHERE NOT (c.ends >= {LEAST_ENDS} AND c.ends >= {LEAST_SHARE} * (c.ends + c.inside) AND c.ends >= {LEAST_OF_CONTEXT} * c.uses)
+        WHERE NOT (c.ends >= {LEAST_ENDS} AND c.ends >= {LEAST_SHARE} * (c.ends + c.inside) AND (f.alone OR c.ends >= {LEAST_OF_CONTEXT} * c.uses))
         """,
         finals=finals,
         counts=counts,
