@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import credentials, mixing, sources_quality, tokens, truncation
+from siftwell.llm import credentials, mixing, pairs, sources_quality, tokens, truncation
 from siftwell.sources import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = read_table(spark, sf_dir, "responses", "response_id", "prompt", "content", "tool_calls")
+    return pairs.defects(pairs.pairs(responses, read_table(spark, sf_dir, "results", "result_id", "response_id", "reasoning")))
+
+
 def _credential_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.texts(read_table(spark, sf_dir, "findings", "finding_no", "code_snippet"), read_table(spark, sf_dir, "tool_results", "tool_result_id", "content"))
 
@@ -57,6 +62,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,
