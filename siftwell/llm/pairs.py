@@ -89,7 +89,7 @@ def language(prose: str) -> tuple[str | None, dict[str, float]]:
     if not votes:
         return None, votes
     ranked = sorted(votes.items(), key=lambda x: -x[1])
-    if len(ranked) > 1 and ranked[0][1] < 1.3 * ranked[1][1]:
+    if len(ranked) > 1 and ranked[0][1] < 1.15 * ranked[1][1]:
         return None, votes
     return ranked[0][0], votes
 
