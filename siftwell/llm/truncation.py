@@ -22,6 +22,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from siftwell.storage import cut
+
 #: A trigram is an ending if it ends lines this often, absolutely and against its uses inside lines.
 LEAST_ENDS, LEAST_SHARE = 2, 0.12
 #: ... and against whatever follows the same two words: half a word is rare beside its whole.
@@ -29,12 +31,11 @@ LEAST_OF_CONTEXT = 0.08
 #: A trigram is frequent inside lines from so many uses on.
 FREQUENT = 8
 
+#: No pattern crosses white space: folding a text and folding its words is the same.
 _FOLD = (
-    (r"`[^`\n]*`", "`x`"),
-    (r"\b\w+\.(?:java|py|js|ts|jsx|tsx)\b", "F"),
+    (r"`[^`\s]*`", "`x`"),
     (r"0x[0-9a-fA-F]+|\d+(?:\.\d+)*", "0"),
-    (r"\b[a-z]+(?:[A-Z][A-Za-z0-9]*)+|\b[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+", "aB"),
-    (r"\b[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+", "a_b"),
+    (r"\b(?:[a-z]+[A-Z]|[A-Z][a-z0-9]+[A-Z]|[A-Za-z0-9]+_)\w*", "aB"),
 )
 _STRINGS = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`'
 _SIGN = r"(?:[^.\s]\.\.\.|…|\x{FFFD}|[\[(<]\s*(?:\.\.\.|…)?\s*(?:truncated|cut|cut off|snip|snipped|shortened|gekürzt|abgeschnitten|tronqué|truncado|continued|more|omitted)\b[^\])>\n]{0,30}[\])>])$"
@@ -103,31 +104,32 @@ def truncated(texts: DataFrame) -> DataFrame:
     """origin, row_id of the cut rows of ``texts`` (origin, row_id, text)."""
     words = _sql(
         f"""
-        SELECT origin, row_id, text, folded, split(folded, '\\n') AS lines
-        FROM (SELECT *, {_folded("text")} AS folded
-              FROM (SELECT origin, row_id, regexp_replace(text, {_lit(r"[\s]+$")}, '') AS text FROM :texts: WHERE text RLIKE {_lit(r"[\p{L}\p{N}]")}))
+        SELECT origin, row_id, regexp_replace(text, {_lit(r"\s+$")}, '') AS text FROM :texts: WHERE text RLIKE {_lit(r"[\p{L}\p{N}]")}
         """,
         texts=texts,
     )
     # A trigram is three words of a line, with ^ before its first; its hash stands for it in shuffles.
+    # Written once: the counts are read twice.
     grams = _sql(
-        r"""
+        f"""
         SELECT gram, any_value(context) AS context, count_if(last) AS ends, count_if(NOT last) AS inside FROM (
           SELECT xxhash64(context, w[i]) AS gram, context, i = size(w) - 1 AS last
           FROM (SELECT w, i, xxhash64(origin, if(i >= 2, w[i - 2], '^'), if(i >= 1, w[i - 1], '^')) AS context
                 FROM (SELECT origin, w, explode(sequence(0, size(w) - 1)) AS i
-                      FROM (SELECT origin, split(trim(line), '\\s+') AS w FROM (SELECT origin, explode(lines) AS line FROM :words:) WHERE trim(line) <> ''))))
+                      FROM (SELECT origin, split(trim(line), '\\\\s+') AS w FROM (SELECT origin, explode(split({_folded("text")}, '\\\\n')) AS line FROM :words:) WHERE trim(line) <> ''))))
         GROUP BY gram
         """,
         words=words,
     )
+    grams = cut(grams, "trigrams")
     contexts = _sql("SELECT context, sum(ends + inside) AS uses FROM :grams: GROUP BY context", grams=grams)
     finals = _sql(
-        r"""
+        f"""
         SELECT origin, row_id, text, last, alone, xxhash64(context, w1) AS gram, context FROM (
-          SELECT origin, row_id, text, size(w) = 1 AS alone, element_at(split(text, '\n'), -1) AS last, w[size(w) - 1] AS w1,
-                 xxhash64(origin, if(size(w) >= 3, w[size(w) - 3], '^'), if(size(w) >= 2, w[size(w) - 2], '^')) AS context
-          FROM (SELECT *, split(trim(element_at(lines, -1)), '\\s+') AS w FROM :words:))
+          SELECT origin, row_id, text, last, n = 1 AND last = text AS alone, w[size(w) - 1] AS w1,
+                 xxhash64(origin, if(n >= 3, w[size(w) - 3], '^'), if(n >= 2, w[size(w) - 2], '^')) AS context
+          FROM (SELECT origin, row_id, text, last, size(raw) AS n, transform(slice(raw, greatest(1, size(raw) - 2), 3), v -> {_folded("v")}) AS w
+                FROM (SELECT *, split(trim(last), '\\\\s+') AS raw FROM (SELECT *, element_at(split(text, '\\\\n'), -1) AS last FROM :words:))))
         """,
         words=words,
     )
