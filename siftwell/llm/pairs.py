@@ -40,6 +40,7 @@ STOPWORDS = {
     "es": "el la los las y es una un del en que para por con no se su al lo como más sin antes después así pero este esta estos nadie luego dos tres solo de puede qué cual muy entre sobre cada ningún cada ninguna nuestro nuestra nuestros otro otra sido ser está están fue hay hasta desde donde porque cuando tan también todo todos todas sólo sus le les nos misma mismo quien ha han mi mis yo ya qué ni",
     "pt": "o a os as e é uma um do da em que para por com não se na no ao mais sem antes depois assim mas este esta dos das pelo pela ninguém foi seu sua às qualquer risco nenhuma nenhum apenas são até seus suas nos nas pelos pelas você isso está todos ela ele eles nem nosso nossa três dois quando sempre nunca esse essa há",
     "it": "il lo la gli le e è una un di del della in che per con non si al come più senza prima dopo ma questo questa dei delle nel nella sono alla ogni nessun nessuno perché anche dove quando già ha hanno stato degli dagli dal dalla nelle loro suo sua solo due tre ci",
+    "ru": "и в во не на с со по для что это как к у из за от до же при без его её их так только уже или но а ещё если нет то все этот эта эти который которая",
     "nl": "de het een en is niet van met op in te wordt zich ook als voor uit bij naar alleen zonder deze dit die dat geen zijn door aan maar of dan nog wel worden werd heeft hebben onze hun wij zij nooit altijd drie twee elke iedere na tot over onder",
 }
 _VOTES: dict[str, list[str]] = {}

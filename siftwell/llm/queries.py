@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import credentials, mixing, pairs, sources_quality, tokens, truncation
+from siftwell.llm import credentials, mixing, pairs, sources_quality, spam, tokens, truncation
 from siftwell.sources import read_table
 
 
@@ -61,6 +61,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_mixture(spark, sf_dir), read_table(spark, sf_dir, "documents", "source"), read_table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam(read_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -72,5 +76,6 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
 SQL: dict[str, str] = {}
