@@ -74,7 +74,7 @@ _ITEM = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s+.*(?:\d|\.(?:java|py|js|ts|jsx|t
 _LABEL = re.compile(r"^\W*\w[\w ]{1,24} ?: ?\W*(?:true_positive|false_positive|needs_review|needs_more_context|true positive|false positive|uncertain|unknown|yes|no|high|medium|low|error|warning|info|\d{3,5})\W*$", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+")
-_SCRIPTS = (("ja", re.compile(r"[぀-ヿ]")), ("zh", re.compile(r"[一-鿿]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("ko", re.compile(r"[가-힯]")), ("ar", re.compile(r"[؀-ۿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")))
+_SCRIPTS = (("ja", re.compile(r"[\u3040-ヿ]")), ("zh", re.compile(r"[一-鿿]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("ko", re.compile(r"[가-\ud7af]")), ("ar", re.compile(r"[\u0600-ۿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")))
 
 
 def language(prose: str) -> tuple[str | None, dict[str, float]]:
@@ -132,7 +132,7 @@ class _Reply:
     """A reply taken apart: is it JSON, is it closed, and which prose does it carry?"""
 
     def __init__(self, text: str) -> None:
-        self.text = text.strip().strip("​﻿⁠").strip()
+        self.text = text.strip().strip("\u200b\ufeff\u2060").strip()
         fenced = self.text.startswith("```")
         body = _FENCE.sub("", self.text).strip() if fenced else self.text
         self.json = body[:1] in ("{", "[") and (fenced or bool(re.match(r"[\[{]\s*(?:[\"{\[\]}]|$)", body)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import credentials, mixing, pairs, sources_quality, spam, tokens, truncation
+from siftwell.llm import credentials, mixing, pairs, parsing, sources_quality, spam, tokens, truncation
 from siftwell.sources import read_table
 
 
@@ -13,6 +13,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(pairs.pairs(responses, read_table(spark, sf_dir, "results", "result_id", "response_id", "reasoning")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.broken_files(read_table(spark, sf_dir, "functions", "repo", "file_path", "source_code"))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.rates(read_table(spark, sf_dir, "functions", "repo", "file_path", "source_code"))
+
+
 def _credential_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.texts(read_table(spark, sf_dir, "findings", "finding_no", "code_snippet"), read_table(spark, sf_dir, "tool_results", "tool_result_id", "content"))
 
@@ -67,6 +75,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,

@@ -46,7 +46,7 @@ _ANCHOR = re.compile(r"<a\s[^>]*>(.*?)</a>", re.I | re.S)
 _MARKDOWN = re.compile(r"\[([^\]\n]*)\]\((?:https?:)?[^)\s]*\)")
 _TAGGED = re.compile(r"<[^<>\n]{1,80}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_ASIAN = re.compile(r"[぀-ヿ一-鿿가-힯]")
+_ASIAN = re.compile(r"[\u3040-ヿ一-鿿가-\ud7af]")
 _CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?:def |class |import |from |return\b|function |const |let |var |public |private |protected |static |if \(|for \(|#include|@\w+|//|/\*|\*/|\*\s)|\w\(.*\)\s*[:{;]?\s*$|^\s*\w+ = |=>|\"\"\"")
 _LOG_LINE = re.compile(r"^\s*[\[(]?(?:\d{4}-\d\d-\d\d[T ]?)?\d\d:\d\d(?::\d\d)?|^\s*(?:INFO|WARN(?:ING)?|ERROR|DEBUG|TRACE)\b")
 _TABLE_LINE = re.compile(r"^\s*\|.*\|\s*$|\t.*\t|^\s*[-+|: ]{5,}\s*$")
