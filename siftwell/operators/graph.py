@@ -1,0 +1,58 @@
+"""Traversals of a call graph given as edges: statistics, simple paths to sinks, caller chains, levels.
+
+Recursion is bounded in depth and guarded by the path itself, so no path visits a node twice.
+"""
+
+from __future__ import annotations
+
+from siftwell.plans.dialect import Dialect
+
+
+def _nodes(d: Dialect) -> str:
+    return f"(SELECT CAST(s_suppkey AS BIGINT) AS id, s_suppkey % 10 = 0 AS entry, s_suppkey % 9 = 0 AS sink FROM {d.t('supplier')} s)"
+
+
+def _edges(d: Dialect) -> str:
+    """Two edges from each node; none to itself, each once."""
+    n = f"(SELECT count(*) FROM {d.t('supplier')})"
+    return f"""(SELECT DISTINCT a, b FROM (SELECT CAST(s_suppkey AS BIGINT) AS a, CAST((s_suppkey * 7 + 3) % {n} AS BIGINT) AS b FROM {d.t('supplier')} s
+              UNION ALL SELECT CAST(s_suppkey AS BIGINT), CAST((s_suppkey * 11 + 5) % {n} AS BIGINT) FROM {d.t('supplier')} s) e WHERE a <> b)"""
+
+
+def graph_stats(d: Dialect) -> str:
+    """Nodes, edges, entry points, sinks, mean callers and callees."""
+    edges = f"(SELECT count(*) FROM {_edges(d)} w)"
+    return f"""SELECT {d.int("count(*)")} AS nodes, {d.int(f"max({edges})")} AS edges, {d.int("count(CASE WHEN entry THEN 1 END)")} AS entries, {d.int("count(CASE WHEN sink THEN 1 END)")} AS sinks,
+        {d.double(f"max({edges}) * 1.0 / greatest(count(*), 1)")} AS mean_callees FROM {_nodes(d)} v"""
+
+
+def callers_and_callees(d: Dialect) -> str:
+    """Per node the number of its callers and callees."""
+    return f"""SELECT v.id, coalesce(o.n, 0) AS callees, coalesce(i.n, 0) AS callers FROM {_nodes(d)} v
+        LEFT JOIN (SELECT a, {d.int("count(*)")} AS n FROM {_edges(d)} e GROUP BY a) o ON v.id = o.a LEFT JOIN (SELECT b, {d.int("count(*)")} AS n FROM {_edges(d)} e GROUP BY b) i ON v.id = i.b"""
+
+
+def paths_to_sink(d: Dialect, depth: int = 5) -> str:
+    """Simple paths from entry points to the first sink on them, with at most ``depth`` edges; a sink that is an entry point is a path of itself."""
+    text = "STRING" if d.spark else "VARCHAR"
+    return f"""
+    WITH RECURSIVE e AS (SELECT a, b FROM {_edges(d)} x), v AS (SELECT id, entry, sink FROM {_nodes(d)} y),
+    p AS (SELECT id AS at, sink AS over, {d.list("id")} AS path, 0 AS edges FROM v WHERE entry
+          UNION ALL
+          SELECT e.b, v.sink, {d.append("p.path", "e.b")}, p.edges + 1 FROM p JOIN e ON p.at = e.a JOIN v ON e.b = v.id WHERE NOT p.over AND p.edges < {depth} AND NOT {d.has("p.path", "e.b")})
+    SELECT {d.join(f"{'transform' if d.spark else 'list_transform'}(path, {'x ->' if d.spark else 'lambda x:'} CAST(x AS {text}))", " -> ")} AS path, CAST(edges AS BIGINT) AS edges FROM p WHERE over
+    """
+
+
+def caller_chains(d: Dialect, depth: int = 4) -> str:
+    """Backward from each sink: the callers at each distance, entry points not expanded, no node twice on a chain."""
+    return f"""
+    WITH RECURSIVE e AS (SELECT a, b FROM {_edges(d)} x), v AS (SELECT id, entry, sink FROM {_nodes(d)} y),
+    p AS (SELECT id AS sink_id, id AS node, false AS over, {d.list("id")} AS path, 0 AS distance FROM v WHERE sink
+          UNION ALL
+          SELECT p.sink_id, e.a, v.entry, {d.append("p.path", "e.a")}, p.distance + 1 FROM p JOIN e ON p.node = e.b JOIN v ON e.a = v.id WHERE NOT p.over AND p.distance < {depth} AND NOT {d.has("p.path", "e.a")})
+    SELECT sink_id, {d.int("distance")} AS distance, {d.int("count(DISTINCT node)")} AS callers, {d.int("count(CASE WHEN over THEN 1 END)")} AS entry_chains FROM p WHERE distance > 0 GROUP BY sink_id, distance
+    """
+
+
+PLANS = (graph_stats, callers_and_callees, paths_to_sink, caller_chains)

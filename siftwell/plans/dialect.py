@@ -93,7 +93,7 @@ class Dialect:
 
     def sorted_join(self, value: str, separator: str) -> str:
         """An aggregate: the distinct values in order, joined."""
-        return self.join(f"array_sort(collect_set({value}))" if self.spark else f"list_sort(list(DISTINCT {value}) FILTER ({value} IS NOT NULL))", separator)
+        return f"coalesce({self.join(f'array_sort(collect_set({value}))' if self.spark else f'list_sort(list(DISTINCT {value}) FILTER ({value} IS NOT NULL))', separator)}, '')"
 
     def left(self, column: str, n: int) -> str:
         return f"substring({column}, 1, {n})"

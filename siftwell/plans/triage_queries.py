@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siftwell.operators import classify, taint
+from siftwell.operators import classify, confidence, graph, lookup, report, taint, transcripts
 from siftwell.plans.dialect import query, sql
 
-_PLANS = {plan.__name__: plan for module in (taint, classify) for plan in module.PLANS}
+_PLANS = {plan.__name__: plan for module in (taint, classify, confidence, transcripts, report, lookup, graph) for plan in module.PLANS}
 
 QUERIES = {name: query(plan) for name, plan in _PLANS.items()}
 SQL = {name: sql(plan) for name, plan in _PLANS.items()}
