@@ -246,10 +246,9 @@ class Grammar:
                     break
                 target, pops, calls = row
                 if pops:
-                    if node == root:
-                        if at == end:
-                            return True
-                    elif at not in (ends := popped[node]):
+                    if node == root and at == end:
+                        return True
+                    if at not in (ends := popped[node]):
                         ends.append(at)
                         for back, parent in callers[node]:
                             todo.append((back, parent, at))

@@ -4,6 +4,7 @@ class body; both start rules run together in one graph-structured stack."""
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from siftwell.llm.gll import Grammar
@@ -15,14 +16,14 @@ import = 'import' 'static'? qname ( '.' '*' )? ';' ;
 qname = NAME ( '.' NAME )* ;
 annotation = '@' qname ( '(' ( annotation_value ( ',' annotation_value )* )? ')' )? ;
 annotation_value = ( NAME '=' )? ( expr | annotation | '{' ( annotation_value ( ',' annotation_value )* ','? )? '}' ) ;
-mod = annotation | 'public' | 'protected' | 'private' | 'static' | 'abstract' | 'final' | 'native' | 'synchronized' | 'transient' | 'volatile' | 'strictfp' | 'default' | NAME '-' NAME ;
-type_decl = mod* NAME? ( class_decl | interface_decl | enum_decl | record_decl | annotation_decl ) ;
-class_decl = 'class' NAME type_params? ( 'extends' type )? ( 'implements' types )? ( NAME types )? class_body ;
-interface_decl = 'interface' NAME type_params? ( 'extends' types )? ( NAME types )? class_body ;
+mod = annotation | 'public' | 'protected' | 'private' | 'static' | 'abstract' | 'final' | 'native' | 'synchronized' | 'transient' | 'volatile' | 'strictfp' | 'default' | 'sealed' | 'non' '-' 'sealed' ;
+type_decl = mod* ( class_decl | interface_decl | enum_decl | record_decl | annotation_decl ) ;
+class_decl = 'class' NAME type_params? ( 'extends' type )? ( 'implements' types )? ( 'permits' types )? class_body ;
+interface_decl = 'interface' NAME type_params? ( 'extends' types )? ( 'permits' types )? class_body ;
 annotation_decl = '@' 'interface' NAME class_body ;
 enum_decl = 'enum' NAME ( 'implements' types )? '{' ( constant ( ',' constant )* )? ','? ( ';' member* )? '}' ;
 constant = annotation* NAME args? class_body? ;
-record_decl = NAME NAME type_params? '(' params? ')' ( 'implements' types )? class_body ;
+record_decl = 'record' NAME type_params? '(' params? ')' ( 'implements' types )? class_body ;
 class_body = '{' member* '}' ;
 member = ';' | type_decl | mod* ( type_params? ( result NAME '(' params? ')' dims? throws? ( block | ( 'default' annotation_value )? ';' ) | NAME '(' params? ')' throws? block ) | type declarator ( ',' declarator )* ';' | NAME block ) | 'static'? block ;
 result = type | annotation* 'void' ;
@@ -47,17 +48,17 @@ block_statement = local ';' | type_decl | statement ;
 local = ( 'final' | annotation )* type declarator ( ',' declarator )* ;
 statement = block | ';' | effect ';' | NAME ':' statement | 'if' '(' expr ')' statement ( 'else' statement )? | 'while' '(' expr ')' statement | 'do' statement 'while' '(' expr ')' ';'
   | 'for' '(' ( local | effect ( ',' effect )* )? ';' expr? ';' ( effect ( ',' effect )* )? ')' statement | 'for' '(' ( 'final' | annotation )* type NAME dims? ':' expr ')' statement
-  | 'return' expr? ';' | 'throw' expr ';' | ( 'break' | 'continue' ) NAME? ';' | 'assert' expr ( ':' expr )? ';' | 'synchronized' '(' expr ')' block | switch | NAME expr ';'
+  | 'return' expr? ';' | 'throw' expr ';' | ( 'break' | 'continue' ) NAME? ';' | 'assert' expr ( ':' expr )? ';' | 'synchronized' '(' expr ')' block | switch | 'yield' expr ';'
   | 'try' block ( catch+ finally? | finally ) | 'try' '(' resource ( ';' resource )* ';'? ')' block catch* finally? ;
 catch = 'catch' '(' ( 'final' | annotation )* type ( '|' type )* NAME ')' block ;
 finally = 'finally' block ;
 resource = local | unary ;
 switch = 'switch' '(' expr ')' '{' ( label ':' block_statement* )* '}' | 'switch' '(' expr ')' '{' ( label '->' ( expr ';' | block | 'throw' expr ';' ) )* '}' ;
-label = 'case' ( case_item ( ',' case_item )* ) ( NAME expr )? | 'default' ;
+label = 'case' ( case_item ( ',' case_item )* ) ( 'when' expr )? | 'default' ;
 case_item = expr | pattern | 'default' ;
 pattern = ( 'final' | annotation )* type NAME? | type '(' ( pattern ( ',' pattern )* )? ')' NAME? ;
 effect = ( '++' | '--' ) unary | primary suffix* ( '++' | '--' | assign expr ) | called | 'new' creator ;
-called = primary suffix* '.' type_args? NAME args | NAME args | ( 'this' | 'super' ) args | primary suffix* '.' 'super' args | primary suffix* '.' 'new' creator ;
+called = primary suffix* '.' type_args? ( NAME | 'yield' ) args | NAME args | ( 'this' | 'super' ) args | primary suffix* '.' 'super' args | primary suffix* '.' 'new' creator ;
 assign = '=' | '+=' | '-=' | '*=' | '/=' | '&=' | '|=' | '^=' | '%=' | '<<=' | '>a' '>=' | '>a' '>a' '>=' ;
 expr = lambda | unary ( binary unary | 'instanceof' pattern )* ( '?' expr ':' expr )? ( assign expr )? | unary binary lambda ;
 lambda = ( NAME | '(' ( lambda_param ( ',' lambda_param )* )? ')' ) '->' ( expr | block ) ;
@@ -66,7 +67,7 @@ binary = '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '<' | '>' | '<=' | '>=' |
 unary = ( '+' | '-' | '++' | '--' | '!' | '~' ) unary | '(' type ( '&' type )* ')' ( unary | lambda ) | primary suffix* ( '++' | '--' )* | switch ;
 primary = LIT | 'true' | 'false' | 'null' | NAME | 'this' | 'super' | '(' expr ')' | NAME args | ( 'this' | 'super' ) args | 'new' creator | array_type '::' 'new' | type '::' type_args? ( NAME | 'new' ) | ( primitive dims? | class_type dims | 'void' ) '.' 'class' ;
 array_type = ( primitive | class_type ) dims ;
-suffix = '.' type_args? NAME args? | '.' ( 'this' | 'class' | 'super' ) | '.' 'new' creator | '[' expr ']' | '::' type_args? ( NAME | 'new' ) ;
+suffix = '.' type_args? ( NAME | 'yield' ) args? | '.' ( 'this' | 'class' | 'super' ) | '.' 'new' creator | '[' expr ']' | '::' type_args? ( NAME | 'new' ) ;
 creator = annotation* type_args? ( primitive | class_type ) ( args class_body? | ( annotation* '[' expr ']' )+ dims? | dims array_init ) ;
 args = '(' ( expr ( ',' expr )* )? ')' ;
 """
@@ -198,7 +199,7 @@ _TYPED = {
     "index_member": "| '[' id ':' type ']' ':' type end",
     "as_more": "",
     "binary_more": "",
-    "cast": "( '<' type close )?",
+    "cast": "( '<' ( type | 'const' ) close )?",
     "as_types": "( '!'? ( 'as' ( type | 'const' ) | 'satisfies' type )+ )?",
     "suffix_more": "| '!'",
 }
@@ -220,15 +221,15 @@ type_member = ( '+' | '-' )? 'readonly'? ( key '?'? ( ':' type )? | ( 'get' | 's
 
 
 def _fill(text: str, parts: dict[str, str]) -> str:
-    import re
-
     return re.sub(r"@(\w+)@", lambda m: parts.get(m[1], ""), text)
 
 
 @cache
 def grammar(language: str) -> Grammar:
     if language == "java":
-        return Grammar(JAVA, "unit")
+        # Words that are keywords in some places only are names in all others.
+        names = "( NAME | 'record' | 'sealed' | 'permits' | 'when' | 'non' )"
+        return Grammar(re.sub(r"\bNAME\b", names, JAVA), "unit")
     if language == "python":
         return Grammar(PYTHON, "file")
     if language == "javascript":

@@ -11,6 +11,7 @@ _BLANK = r"[ \t\f\r\n\uFEFF]+"
 JAVA_WORDS = frozenset(
     "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null".split()
 )
+JAVA_SOFT = frozenset("record sealed permits when non yield".split())
 PYTHON_WORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
 SCRIPT_WORDS = frozenset(
     "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split()
@@ -36,7 +37,7 @@ def java(text: str) -> list[tuple[str, bool]] | None:
         if kind == "skip":
             continue
         if kind == "word":
-            out.append((value if value in JAVA_WORDS else "NAME", False))
+            out.append((value if value in JAVA_WORDS or value in JAVA_SOFT else "NAME", False))
         elif kind == "op":
             # Of >> and >>> each sign stands alone, marked where the next one touches it: generics close with them.
             out.append((">a" if value == ">" and text[at : at + 1] == ">" else value, False))
