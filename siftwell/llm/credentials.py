@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.automata import KeywordAutomaton
+from siftwell.storage import spread
 
 # Words without which no rule below can match (case folded).
 KEYWORDS = (
@@ -280,7 +281,7 @@ def locate(rows: DataFrame) -> DataFrame:
                     names=["origin", "row_id", "line_no", "start", "kind"],
                 )
 
-    found = rows.mapInArrow(run, "origin string, row_id bigint, line_no bigint, start bigint, kind string")
+    found = spread(rows).mapInArrow(run, "origin string, row_id bigint, line_no bigint, start bigint, kind string")
     return found.dropDuplicates(["origin", "row_id", "start"]).select("origin", "row_id", "line_no", "kind")
 
 
@@ -293,4 +294,4 @@ def redact(rows: DataFrame) -> DataFrame:
             masked = [mask(t, s) if t and (s := find(t)) else t for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masked, pa.string())], names=["origin", "row_id", "text"])
 
-    return rows.mapInArrow(run, "origin string, row_id bigint, text string")
+    return spread(rows).mapInArrow(run, "origin string, row_id bigint, text string")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwell.llm.tokens import VOCABULARY, broadcast_vocabulary, encoder
-from siftwell.storage import cut
+from siftwell.storage import cut, spread
 
 BUCKETS = 8192
 #: A text counts as so many tokens of evidence at most, so that posteriors of long texts stay soft.
@@ -60,7 +60,7 @@ def _counted(df: DataFrame, vocabulary: str) -> DataFrame:
             )
 
     picked = df.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return picked.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, cells array<int>, counts array<int>")
+    return spread(picked).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, cells array<int>, counts array<int>")
 
 
 def _log_model(labelled: DataFrame, sources: list[str]) -> np.ndarray:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.automata import SuffixAutomaton
+from siftwell.storage import busy_partitions, spread
 
 #: A common factor counts from so many folded characters on; so much of the reply makes a copy.
 COPY_FACTOR, COPY_SHARE = 10, 0.85
@@ -74,19 +75,24 @@ _ITEM = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s+.*(?:\d|\.(?:java|py|js|ts|jsx|t
 _LABEL = re.compile(r"^\W*\w[\w ]{1,24} ?: ?\W*(?:true_positive|false_positive|needs_review|needs_more_context|true positive|false positive|uncertain|unknown|yes|no|high|medium|low|error|warning|info|\d{3,5})\W*$", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+")
+_FOREIGN = re.compile("[\u0370-\uffff]")
 _SCRIPTS = (("ja", re.compile(r"[\u3040-ヿ]")), ("zh", re.compile(r"[一-鿿]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("ko", re.compile(r"[가-\ud7af]")), ("ar", re.compile(r"[\u0600-ۿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")))
 
 
-def language(prose: str) -> tuple[str | None, dict[str, float]]:
-    """The language most votes are for (None without a clear winner) and the votes."""
-    letters = sum(map(str.isalpha, prose))
-    for name, script in _SCRIPTS:
-        if letters and len(script.findall(prose)) > (0.1 if name == "ja" else 0.3) * letters:
-            return name, {name: 99.0}
+def language(prose: str, words: list[str] | None = None) -> tuple[str | None, dict[str, float]]:
+    """The language most votes are for (None without a clear winner) and the votes. ``words``: those of the lower-case prose, if known."""
+    if _FOREIGN.search(prose):
+        letters = sum(map(str.isalpha, prose))
+        for name, script in _SCRIPTS:
+            if letters and len(script.findall(prose)) > (0.1 if name == "ja" else 0.3) * letters:
+                return name, {name: 99.0}
     votes: dict[str, float] = {}
-    for word in _WORD.findall(prose.lower()):
-        for lang in _VOTES.get(word, ()):
-            votes[lang] = votes.get(lang, 0) + _WEIGHT[min(3, len(_VOTES[word]))]
+    for word in _WORD.findall(prose.lower()) if words is None else words:
+        langs = _VOTES.get(word)
+        if langs is not None:
+            weight = _WEIGHT[min(3, len(langs))]
+            for lang in langs:
+                votes[lang] = votes.get(lang, 0) + weight
     if not votes:
         return None, votes
     ranked = sorted(votes.items(), key=lambda x: -x[1])
@@ -234,9 +240,10 @@ def defect(prompt: str | None, reply: str | None) -> str | None:
 def pairs(responses: DataFrame, results: DataFrame) -> DataFrame:
     """pair_kind, pair_id, prompt, reply of all pairs; duplicates of a key may still be there."""
     calls = F.coalesce(F.size(F.filter("tool_calls", lambda c: c.isNotNull())), F.lit(0))
-    one = responses.where(calls <= 0).select(F.lit("response").alias("pair_kind"), F.col("response_id").cast("bigint").alias("pair_id"), "prompt", F.col("content").alias("reply"))
-    asked = responses.select("response_id", "prompt")
-    two = results.select(F.col("result_id").cast("bigint").alias("pair_id"), "response_id", F.col("reasoning").alias("reply")).join(asked, "response_id", "left")
+    n = busy_partitions(responses.sparkSession)
+    one = spread(responses.where(calls <= 0)).select(F.lit("response").alias("pair_kind"), F.col("response_id").cast("bigint").alias("pair_id"), "prompt", F.col("content").alias("reply"))
+    asked = responses.select("response_id", "prompt").repartition(n, "response_id")
+    two = results.select(F.col("result_id").cast("bigint").alias("pair_id"), "response_id", F.col("reasoning").alias("reply")).repartition(n, "response_id").join(asked, "response_id", "left")
     return one.unionByName(two.select(F.lit("result").alias("pair_kind"), "pair_id", "prompt", "reply"))
 
 

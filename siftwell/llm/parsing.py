@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm import lexers
 from siftwell.llm.grammars import grammar
+from siftwell.storage import spread
 
 #: Extensions and their languages.
 LANGUAGES = {".java": "java", ".py": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript"}
@@ -62,7 +63,7 @@ def judged(functions: DataFrame) -> DataFrame:
     extension = F.lower(F.regexp_extract("file_path", r"(\.\w+)$", 1))
     language = F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), extension)
     rows = functions.select("repo", "file_path", language.alias("language"), F.col("source_code").cast("string").alias("code"))
-    return rows.where("language IS NOT NULL AND code RLIKE '\\\\S'").mapInArrow(run, "repo string, file_path string, language string, broken int")
+    return spread(rows.where("language IS NOT NULL AND code RLIKE '\\\\S'")).mapInArrow(run, "repo string, file_path string, language string, broken int")
 
 
 def broken_files(functions: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.pairs import STOPWORDS, language
-from siftwell.storage import cut
+from siftwell.storage import cut, spread
 
 FEATURES = ("links", "function", "sentences", "entropy", "repetition", "separators")
 #: Direction of spam along the features.
@@ -48,6 +48,7 @@ _TAGGED = re.compile(r"<[^<>\n]{1,80}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _ASIAN = re.compile(r"[\u3040-ヿ一-鿿가-\ud7af]")
 _CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?:def |class |import |from |return\b|function |const |let |var |public |private |protected |static |if \(|for \(|#include|@\w+|//|/\*|\*/|\*\s)|\w\(.*\)\s*[:{;]?\s*$|^\s*\w+ = |=>|\"\"\"")
+_CODE_SIGN = re.compile(r"[;{}()=@#/\"*:]|^\s*(?:import|from|return)\b")
 _LOG_LINE = re.compile(r"^\s*[\[(]?(?:\d{4}-\d\d-\d\d[T ]?)?\d\d:\d\d(?::\d\d)?|^\s*(?:INFO|WARN(?:ING)?|ERROR|DEBUG|TRACE)\b")
 _TABLE_LINE = re.compile(r"^\s*\|.*\|\s*$|\t.*\t|^\s*[-+|: ]{5,}\s*$")
 _LABEL = re.compile(r"^\s*(?:tags?|keywords?|schlagw[öo]rter|stichworte|mots[- ]cl[ée]s|etiquetas|palabras clave|more|mehr|plus|más|labels?|topics?)\s*:\s*", re.I)
@@ -85,7 +86,7 @@ def _stuffed_words(words: list[str]) -> int:
 
 def _said(said: dict[str, str], line: str) -> bool:
     for part in _SENTENCE.split(line):
-        said.setdefault(_VARIABLE.sub("", part).strip(), part)
+        said.setdefault(_VARIABLE.sub("", part), part)
     return True
 
 
@@ -94,10 +95,10 @@ def features(text: str) -> tuple[str, list[float], float]:
     prose = _TAGGED.sub(" ", _ANCHOR.sub(r"\1 \g<0>", text)) if "<" in text else text
     links = _URL.findall(text)
     bare = _URL.sub(" ", _MARKDOWN.sub(r"\1", prose))
-    lang, _ = language(re.sub(r"`[^`\n]*`", " ", bare))
-    words = [w.lower() for w in _WORD.findall(bare)]
+    words = _WORD.findall(bare.lower())
+    lang, _ = language(bare, words)
     size = max(1, len(text.strip()))
-    asian = len(_ASIAN.findall(text)) > 0.2 * size
+    asian = bool(_ASIAN.search(text)) and len(_ASIAN.findall(text)) > 0.2 * size
     count = Counter(words)
     n = max(1, len(words))
     entropy = -sum(c / n * math.log2(c / n) for c in count.values()) / max(1.0, math.log2(n)) if words else 0.0
@@ -127,16 +128,17 @@ def features(text: str) -> tuple[str, list[float], float]:
         if asian or _LOG_LINE.search(body) or _TABLE_LINE.search(line):
             sentence += weight
             continue
-        urls = sum(map(len, _URL.findall(body)))
-        rest = _MARKDOWN.sub(lambda m: " " + m[1] + " ", _TAGGED.sub(" ", _ANCHOR.sub(r"\1", body)))
-        rest = _URL.sub(" ", rest)
+        urls = sum(map(len, _URL.findall(body))) if links else 0
+        rest = _TAGGED.sub(" ", _ANCHOR.sub(r"\1", body)) if "<" in body else body
+        if urls or "](" in body:
+            rest = _URL.sub(" ", _MARKDOWN.sub(lambda m: " " + m[1] + " ", rest))
         linked = bool(urls) or "href=" in body
-        if not linked and _CODE_LINE.search(line) and not _LABEL.match(body) and not body.startswith("#"):
+        if not linked and _CODE_SIGN.search(line) and _CODE_LINE.search(line) and not _LABEL.match(body) and not body.startswith("#"):
             sentence += weight
             continue
         label = _LABEL.match(rest)
         inner = rest[label.end() :] if label else rest
-        tokens = [w.lower() for w in _WORD.findall(inner)]
+        tokens = _WORD.findall(inner.lower())
         if not tokens:
             spam += weight if linked else 0.0
             continue
@@ -160,8 +162,10 @@ def features(text: str) -> tuple[str, list[float], float]:
         elif len(items) > 6 and mean <= 4 and share < 0.12:
             spam += weight
     # A sentence said twice, or with another name or number in it, counts once.
-    told = [w.lower() for part in said.values() for w in _WORD.findall(part)]
-    stuffed = _stuffed_words(told) / max(1, len(told))
+    stuffed = 0.0
+    if repetition * n >= 0.25 * sum(len(part.split()) for part in said.values()):  # else no phrase can be dense
+        told = [w for part in said.values() for w in _WORD.findall(part.lower())]
+        stuffed = _stuffed_words(told) / max(1, len(told))
     spam_share = max(spam / max(1.0, total), min(1.0, 1.6 * stuffed) if stuffed >= 0.3 else 0.0)
     values = [sum(map(len, links)) / size, function, sentence / max(1.0, total), entropy, max(repetition, stuffed), min(2.0, separators)]
     # Text without a language of its own (lists of keywords have none) is held against all documents.
@@ -180,7 +184,7 @@ def measured(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), *[pa.array(c, pa.float64()) for c in columns[2:]]], names=names)
 
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND trim(text) <> ''")
-    return rows.mapInArrow(run, "doc_id bigint, grp string, " + ", ".join(f"{f} double" for f in FEATURES) + ", spam_share double")
+    return spread(rows).mapInArrow(run, "doc_id bigint, grp string, " + ", ".join(f"{f} double" for f in FEATURES) + ", spam_share double")
 
 
 def _robust(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -201,8 +205,8 @@ def _robust(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarr
     out = {}
     for r in cross:
         cov = np.array([[r[f"c{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)])
-        spread = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-        correlation = cov / np.outer(spread, spread) * 0.9 + 0.1 * np.eye(k)
+        deviation = np.sqrt(np.maximum(np.diag(cov), 1e-6))
+        correlation = cov / np.outer(deviation, deviation) * 0.9 + 0.1 * np.eye(k)
         out[r.grp] = (centre[r.grp][1], scale[r.grp], np.linalg.inv(correlation))
     for g in (*small, ALL):
         out.setdefault(g, out.get(ALL))

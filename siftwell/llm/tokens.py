@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siftwell.storage import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 _encoders: dict[str, object] = {}
@@ -55,5 +57,5 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["key", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(df[key].alias("key"), df[text].cast("string").alias("text")).mapInArrow(encode, f"key {kind}, ids array<int>")
+    out = spread(df.select(df[key].alias("key"), df[text].cast("string").alias("text"))).mapInArrow(encode, f"key {kind}, ids array<int>")
     return out.withColumnRenamed("key", key)
