@@ -34,3 +34,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def busy_partitions(spark: SparkSession) -> int:
+    """Partitions for costly work per row: some for each core, and no fewer than the session's shuffles have."""
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan ``df`` in enough partitions to keep all cores busy with costly work per row.
+
+    Large inputs are in far more partitions than there are cores and stay where they are; only a small or
+    unsplittable input is dealt out evenly (round robin over sorted rows, the same for a recomputed task).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(3 * cores)
