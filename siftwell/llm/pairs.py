@@ -48,6 +48,8 @@ _VOTES: dict[str, list[str]] = {}
 for _lang, _words in STOPWORDS.items():
     for _word in dict.fromkeys(_words.split()):
         _VOTES.setdefault(_word, []).append(_lang)
+# Spellings of one language among those with Latin letters.
+_SPELLING = (("es", re.compile("ción$|ciones$|sión$|ñ|ería$|aría$")), ("pt", re.compile("ção$|ções$|ão$|õ")), ("de", re.compile("[ßäöü]")), ("fr", re.compile("[èùûœî]|é[es]?$")))
 _WEIGHT = {1: 1.0, 2: 0.25, 3: 0.1}
 
 # Phrases by which a reply declines, per language.
@@ -93,6 +95,10 @@ def language(prose: str, words: list[str] | None = None) -> tuple[str | None, di
             weight = _WEIGHT[min(3, len(langs))]
             for lang in langs:
                 votes[lang] = votes.get(lang, 0) + weight
+        elif not word.isascii():
+            for lang, mark in _SPELLING:
+                if mark.search(word):
+                    votes[lang] = votes.get(lang, 0) + 0.5
     if not votes:
         return None, votes
     ranked = sorted(votes.items(), key=lambda x: -x[1])
@@ -231,8 +237,8 @@ def defect(prompt: str | None, reply: str | None) -> str | None:
         return "truncated"
     if prompt:
         asked, _ = language(_plain(prompt))
-        answered, votes = language(_plain(r.prose))
-        if asked and answered and asked != answered and votes[answered] >= 1.5 and votes.get(asked, 0) * 2.5 <= votes[answered]:
+        answered, votes = language(_plain(_QUOTED.sub(" ", r.prose)))
+        if asked and answered and asked != answered and votes[answered] >= 1.2 and votes.get(asked, 0) * 2.5 <= votes[answered]:
             return "language"
     return None
 
