@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,4 +23,19 @@ def build_session(name: str = "siftwell", master: str | None = None, partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     return session
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, wherever they run and whatever their working folder is; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_siftwell_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="siftwell-")) / "siftwell.zip"  # read on the driver only, served to executors by Spark
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as bundle:
+        for file in sorted(root.rglob("*.py")):
+            bundle.write(file, str(Path("siftwell") / file.relative_to(root)))
+    context.addPyFile(str(archive))
+    context._siftwell_shipped = True
