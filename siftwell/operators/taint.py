@@ -12,17 +12,17 @@ from siftwell.plans.dialect import Dialect
 
 
 def taint_hits(d: Dialect) -> str:
-    """Per line the descriptions of all sources, sanitizers and sinks on it; lines without any are left out."""
+    """Per line the descriptions of all sources, sanitizers and sinks on it; lines without any are left out, by one pass before the labels."""
     return f"""
     SELECT * FROM (
       SELECT function_id, line_no, {d.all_labels("text", c.TAINT_SOURCES, 2)} AS sources, {d.all_labels("text", c.SANITIZERS)} AS sanitizers, {d.all_labels("text", c.SINKS)} AS sinks
-      FROM {base.function_lines(d)} l) h
+      FROM {base.function_lines(d)} l WHERE {d.any("text", [row[0] for row in (*c.TAINT_SOURCES, *c.SANITIZERS, *c.SINKS)])}) h
     WHERE sources <> '' OR sanitizers <> '' OR sinks <> ''
     """
 
 
 def _sources(d: Dialect) -> str:
-    return f"""(SELECT * FROM (SELECT function_id, line_no, {d.first_group("text", c.ASSIGNED)} AS variable, {d.all_labels("text", c.TAINT_SOURCES, 1)} AS source_types FROM {base.function_lines(d)} l) s
+    return f"""(SELECT * FROM (SELECT function_id, line_no, {d.first_group("text", c.ASSIGNED)} AS variable, {d.all_labels("text", c.TAINT_SOURCES, 1)} AS source_types FROM {base.function_lines(d)} l WHERE {d.any("text", [row[0] for row in c.TAINT_SOURCES])}) s
                WHERE variable IS NOT NULL AND source_types <> '')"""
 
 
