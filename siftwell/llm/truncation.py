@@ -8,12 +8,15 @@ text ends with is then joined to these counts:
     * hardly known at all: its last word is not one that anything ends with, perhaps half a word;
     * an ending that others share: whole, whatever comes before.
 
-Texts of the first two kinds are suspects, the only ones looked at further. An exact check follows: a sign
-left behind, a literal, bracket, fence or JSON value still open, or no mark that ends a sentence or line.
+Each distinct text counts once, and the counts are those of the other texts: a text's own ending is taken out.
+Texts of the first two kinds are suspects. An exact check follows: a bracket still open, or no mark that ends
+a sentence or line. A sign left behind, an open literal, fence or JSON value makes any text a cut one, shared
+ending or not.
 
 Defined cases: null, empty and blank texts, and texts without a letter or digit, have no end to lose; a
 snippet of whole lines is complete though its block is open; trailing white space is no part of the end;
-rows delivered twice count once; very long texts are split like any other.
+rows delivered twice count once, and so do texts under many ids; a bare or labelled status code and a word for
+nothing are whole replies; very long texts are split like any other.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from siftwell.storage import cut
 
-#: A trigram is an ending if it ends lines this often, absolutely and against its uses inside lines.
+#: A trigram is an ending if it ends lines of other texts this often, absolutely and against its uses inside lines.
 LEAST_ENDS, LEAST_SHARE = 2, 0.12
 #: ... and against whatever follows the same two words: half a word is rare beside its whole.
 LEAST_OF_CONTEXT = 0.08
@@ -69,12 +72,16 @@ def _count(text: str, pattern: str) -> str:
     return f"regexp_count({text}, {_lit(pattern)})"
 
 
-#: The exact check, over the columns text (right-trimmed), last (its last line), inside, ends.
+#: Whole replies that are no sentence.
+_VALUE = r"^(?:[\p{L} ]+: *)?(?:\d{4}|(?i:null|none|nil|undefined|n/?a))$"
+
+#: The exact check, over the columns text (right-trimmed), last (its last line), inside, others (ends of lines of
+#: other texts), shared (an ending that others share). Only literals that may not span lines are looked at in shared ones.
 _CHECKS = f"""
 WITH stripped AS (
   SELECT *, regexp_replace(last, {_lit(_STRINGS + r"|/\*.*?\*/|//[^\n]*$|(?<![\w'\"])#[^\n{{}}]*$|(?<=[=(,:])\s*/(?:[^/\\\n]|\\.)+/[a-z]*")}, 'S') AS bare,
          regexp_replace(text, {_lit(r'"(?:[^"\\]|\\.)*"')}, 'S') AS bare_json
-  FROM :suspects:
+  FROM :finals:
 )
 SELECT origin, row_id FROM stripped
 WHERE text RLIKE {_lit(_SIGN)}
@@ -86,13 +93,15 @@ WHERE text RLIKE {_lit(_SIGN)}
               bare_json LIKE '%"%'
               OR {_count("bare_json", "[{]")} <> {_count("bare_json", "[}]")}
               OR {_count("bare_json", "[\\[]")} <> {_count("bare_json", "[\\]]")}
+            WHEN shared OR text RLIKE {_lit(_VALUE)} THEN false
             ELSE NOT text RLIKE {_lit(r"[.!?:;。！？)\]}»”\"'`*>|]$")}
           END
+        WHEN shared THEN bare RLIKE {_lit(r"(?<!S)\"|(?<![A-Za-zS'])'(?!')")}
         ELSE
           bare RLIKE {_lit(r'["`]')}
           OR bare RLIKE {_lit(r"(?<![A-Za-z])'")}
           OR (text RLIKE {_lit(r"/\*(?:(?!\*/).)*$")})
-          OR (inside >= {FREQUENT} AND ends = 0)
+          OR (inside >= {FREQUENT} AND others = 0)
           OR (NOT bare RLIKE {_lit(r"[;{}()\[\],:\\+=>*/&|?S]\s*$")})
           OR (NOT last RLIKE {_lit(r"[;{(\[,:\\+&|]$")} AND ({_count("bare", "[(]")} > {_count("bare", "[)]")} OR {_count("bare", "[\\[]")} > {_count("bare", "[\\]]")}))
           OR (length(last) > 160 AND ({_count("bare", "[(]")} > {_count("bare", "[)]")} OR {_count("bare", "[{]")} > {_count("bare", "[}]")} OR {_count("bare", "[\\[]")} > {_count("bare", "[\\]]")}))
@@ -108,6 +117,7 @@ def truncated(texts: DataFrame) -> DataFrame:
         """,
         texts=texts,
     )
+    distinct = _sql("SELECT DISTINCT origin, text FROM :words:", words=words)
     # A trigram is three words of a line, with ^ before its first; its hash stands for it in shuffles.
     # Written once: the counts are read twice.
     grams = _sql(
@@ -116,10 +126,10 @@ def truncated(texts: DataFrame) -> DataFrame:
           SELECT xxhash64(context, w[i]) AS gram, context, i = size(w) - 1 AS last
           FROM (SELECT w, i, xxhash64(origin, if(i >= 2, w[i - 2], '^'), if(i >= 1, w[i - 1], '^')) AS context
                 FROM (SELECT origin, w, explode(sequence(0, size(w) - 1)) AS i
-                      FROM (SELECT origin, split(trim(line), '\\\\s+') AS w FROM (SELECT origin, explode(split({_folded("text")}, '\\\\n')) AS line FROM :words:) WHERE trim(line) <> ''))))
+                      FROM (SELECT origin, split(trim(line), '\\\\s+') AS w FROM (SELECT origin, explode(split({_folded("text")}, '\\\\n')) AS line FROM :distinct:) WHERE trim(line) <> ''))))
         GROUP BY gram
         """,
-        words=words,
+        distinct=distinct,
     )
     grams = cut(grams, "trigrams")
     contexts = _sql("SELECT context, sum(ends + inside) AS uses FROM :grams: GROUP BY context", grams=grams)
@@ -134,25 +144,26 @@ def truncated(texts: DataFrame) -> DataFrame:
         words=words,
     )
     # The counts are joined to the distinct final trigrams first, without texts: few rows, and none is hot.
+    # Every text has ended once with its final trigram, which is taken out.
     counts = _sql(
         """
-        SELECT d.gram, d.context, coalesce(g.ends, 0) AS ends, coalesce(g.inside, 0) AS inside, coalesce(c.uses, 0) AS uses
+        SELECT d.gram, d.context, greatest(coalesce(g.ends, 0) - 1, 0) AS others, coalesce(g.inside, 0) AS inside, greatest(coalesce(c.uses, 0) - 1, 0) AS uses
         FROM (SELECT DISTINCT gram, context FROM :finals:) d LEFT JOIN :grams: g ON d.gram = g.gram LEFT JOIN :contexts: c ON d.context = c.context
         """,
         finals=finals,
         grams=grams,
         contexts=contexts,
     )
-    suspects = _sql(
+    finals = _sql(
         f"""
-        SELECT f.origin, f.row_id, f.text, f.last, c.inside, c.ends
+        SELECT f.origin, f.row_id, f.text, f.last, c.inside, c.others,
+               c.others >= {LEAST_ENDS} AND c.others >= {LEAST_SHARE} * (c.others + c.inside) AND (f.alone OR c.others >= {LEAST_OF_CONTEXT} * c.uses) AS shared
         FROM :finals: f JOIN :counts: c ON f.gram = c.gram
-        WHERE NOT (c.ends >= {LEAST_ENDS} AND c.ends >= {LEAST_SHARE} * (c.ends + c.inside) AND (f.alone OR c.ends >= {LEAST_OF_CONTEXT} * c.uses))
         """,
         finals=finals,
         counts=counts,
     )
-    return _sql(_CHECKS, suspects=suspects).distinct()
+    return _sql(_CHECKS, finals=finals).distinct()
 
 
 def texts_of(responses: DataFrame, findings: DataFrame) -> DataFrame:

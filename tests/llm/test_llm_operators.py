@@ -97,6 +97,20 @@ def test_cut_texts(spark):
     assert truncation.truncated(frame.limit(0)).count() == 0
 
 
+def test_copies_do_not_make_an_ending(spark):
+    whole = "The caller passes a literal value to the helper before the write."
+    code = 'int a = load(key, 12);\nString b = a + "x";'
+    rows = [("response", i, whole) for i in range(3)] + [("finding", i, code) for i in range(3)]
+    rows += [("response", 100, "The caller passes a literal value to the hel")] * 2 + [("finding", 200, "int a = load(k")] * 2  # delivered twice
+    rows += [("response", 300 + i, "The helper trusts the tena") for i in range(9)]  # under many ids
+    rows += [("response", 400 + i, f"Note {word}.\nThe value is read and… [truncated]") for i, word in enumerate(("one", "two", "three", "four"))]  # an ending others share
+    rows += [("finding", 500 + i, f'{word} = load();\nString b = "unclos') for i, word in enumerate(("one", "two", "three", "four"))]
+    rows += [("response", 600 + i, text) for i, text in enumerate(("Status: 1007", "Status: 1007", "1337", "null", "N/A"))]
+    frame = spark.createDataFrame(rows, "origin string, row_id bigint, text string")
+    got = sorted(tuple(r) for r in truncation.truncated(frame).collect())
+    assert got == [("finding", 200), *(("finding", 500 + i) for i in range(4)), ("response", 100), *(("response", 300 + i) for i in range(9)), *(("response", 400 + i) for i in range(4))]
+
+
 # --- files -------------------------------------------------------------------------------------------------
 
 
