@@ -9,8 +9,9 @@ text ends with is then joined to these counts:
     * an ending that others share: whole, whatever comes before.
 
 Each distinct text counts once, and the counts are those of the other texts: a text's own ending is taken out.
-Texts of the first two kinds are suspects. An exact check follows: a bracket still open, or no mark that ends
-a sentence or line. A sign left behind, an open literal, fence or JSON value makes any text a cut one, shared
+Texts of the first kind are cut, unless they end with a mark of a whole sentence, fence or JSON value, which often
+go on. Those of the second are suspects, for which an exact check follows: a bracket still open, or no mark that
+ends a sentence or line. A sign left behind, an open literal, fence or JSON value makes any text a cut one, shared
 ending or not.
 
 Defined cases: null, empty and blank texts, and texts without a letter or digit, have no end to lose; a
@@ -31,8 +32,8 @@ from siftwell.storage import cut
 LEAST_ENDS, LEAST_SHARE = 2, 0.12
 #: ... and against whatever follows the same two words: half a word is rare beside its whole.
 LEAST_OF_CONTEXT = 0.08
-#: A trigram is frequent inside lines from so many uses on.
-FREQUENT = 8
+#: A trigram is frequent inside lines from so many uses on, and almost never an end below this share of them.
+FREQUENT, MOST_ENDS = 8, 0.02
 
 #: No pattern crosses white space: folding a text and folding its words is the same.
 _FOLD = (
@@ -75,6 +76,10 @@ def _count(text: str, pattern: str) -> str:
 #: Whole replies that are no sentence.
 _VALUE = r"^(?:[\p{L} ]+: *)?(?:\d{4}|(?i:null|none|nil|undefined|n/?a))$"
 
+_SENTENCE = r"[.!?。！？][)\]}»”\"'`*]*$"
+#: The decision by the counts alone.
+_DEALT = f"inside >= {FREQUENT} AND others <= {MOST_ENDS} * inside"
+
 #: The exact check, over the columns text (right-trimmed), last (its last line), inside, others (ends of lines of
 #: other texts), shared (an ending that others share). Only literals that may not span lines are looked at in shared ones.
 _CHECKS = f"""
@@ -94,6 +99,7 @@ WHERE text RLIKE {_lit(_SIGN)}
               OR {_count("bare_json", "[{]")} <> {_count("bare_json", "[}]")}
               OR {_count("bare_json", "[\\[]")} <> {_count("bare_json", "[\\]]")}
             WHEN shared OR text RLIKE {_lit(_VALUE)} THEN false
+            WHEN {_DEALT} AND NOT text RLIKE {_lit(_SENTENCE)} AND NOT text RLIKE '```$' THEN true
             ELSE NOT text RLIKE {_lit(r"[.!?:;。！？)\]}»”\"'`*>|]$")}
           END
         WHEN shared THEN bare RLIKE {_lit(r"(?<!S)\"|(?<![A-Za-zS'])'(?!')")}
@@ -101,7 +107,7 @@ WHERE text RLIKE {_lit(_SIGN)}
           bare RLIKE {_lit(r'["`]')}
           OR bare RLIKE {_lit(r"(?<![A-Za-z])'")}
           OR (text RLIKE {_lit(r"/\*(?:(?!\*/).)*$")})
-          OR (inside >= {FREQUENT} AND others = 0)
+          OR ({_DEALT})
           OR (NOT bare RLIKE {_lit(r"[;{}()\[\],:\\+=>*/&|?S]\s*$")})
           OR (NOT last RLIKE {_lit(r"[;{(\[,:\\+&|]$")} AND ({_count("bare", "[(]")} > {_count("bare", "[)]")} OR {_count("bare", "[\\[]")} > {_count("bare", "[\\]]")}))
           OR (length(last) > 160 AND ({_count("bare", "[(]")} > {_count("bare", "[)]")} OR {_count("bare", "[{]")} > {_count("bare", "[}]")} OR {_count("bare", "[\\[]")} > {_count("bare", "[\\]]")}))

@@ -111,6 +111,17 @@ def test_copies_do_not_make_an_ending(spark):
     assert got == [("finding", 200), *(("finding", 500 + i) for i in range(4)), ("response", 100), *(("response", 300 + i) for i in range(9)), *(("response", 400 + i) for i in range(4))]
 
 
+def test_frequent_inside_and_almost_never_an_end_is_cut(spark):
+    rows = [("response", i, f"Case {i}: the value passes `check` before it is written by helper number {i}.") for i in range(60)]
+    rows += [("finding", i, f"int n{i}x = {i};\nString query = load(table, {i}); run(query);") for i in range(60)]
+    rows += [("response", 100, "In this case the value passes `check`"), ("response", 101, "By hand it is written by helper number (see `check`)"), ("response", 102, "The value is checked by hand.")]
+    rows += [("finding", 200, "int m = 1;\nString query ="), ("finding", 201, "int m = 2;\nString other ="), ("finding", 202, "int k = 3;\nString query = load(table, 3); run(query);")]
+    # ... an end for some: lines may be wrapped there
+    rows += [("finding", 300 + i, f"int k = {i};\nfinal Report report =\n    load(n, {i});") for i in range(4)] + [("finding", 310 + i, f"int k = {i}; final Report report = load(n, {i});") for i in range(40)] + [("finding", 399, "int z = 4;\nfinal Report report =")]
+    frame = spark.createDataFrame(rows, "origin string, row_id bigint, text string")
+    assert sorted(tuple(r) for r in truncation.truncated(frame).collect()) == [("finding", 200), ("response", 100)]
+
+
 # --- files -------------------------------------------------------------------------------------------------
 
 
