@@ -56,7 +56,7 @@ def conversation_state(d: Dialect) -> str:
     """
 
 
-def truncate_middle(d: Dialect, budget: int = 320) -> str:
+def truncate_middle(d: Dialect, budget: int = 3200) -> str:
     """Tool results over a budget: the first 60 % and the last 20 % of it, a notice between."""
     head, tail = budget * 60 // 100, budget * 20 // 100
     cut = f"concat({d.left('content', head)}, ' ... [', CAST(length(content) - {head + tail} AS {'STRING' if d.spark else 'VARCHAR'}), ' characters left out] ... ', {d.right('content', tail)})"

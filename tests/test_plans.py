@@ -52,6 +52,13 @@ def test_replies_are_parsed(spark):
     assert got == {0: ("true_positive", 0.9), 1: ("false_positive", 0.9), 2: ("false_positive", 0.85), 3: ("needs_more_context", 0.5), 4: ("needs_review", 0.5), 5: ("needs_more_context", 0.2), 6: ("true_positive", 0.9)}
 
 
+def test_only_tool_results_over_3200_characters_are_cut(spark):
+    texts = ["a" * 321, "b" * 3200, "h" * 1920 + "m" * 1000 + "t" * 640, "", None]
+    frame = spark.createDataFrame([(i, "c", "t", t, True) for i, t in enumerate(texts)], "tool_result_id bigint, tool_call_id string, tool_name string, content string, success boolean")
+    got = {r.tool_result_id: (r.truncated, r.content) for r in run(transcripts.truncate_middle, {"tool_results": frame}).collect()}
+    assert got == {0: (False, texts[0]), 1: (False, texts[1]), 2: (True, "h" * 1920 + " ... [1000 characters left out] ... " + "t" * 640), 3: (False, "")}
+
+
 def test_innermost_function_is_found(spark):
     functions = spark.createDataFrame([(1, "r", "a.java", "outer", None, 1, 50, "x"), (2, "r", "a.java", "inner", None, 10, 20, "x"), (3, "q", "a.java", "other", None, 1, 50, "x")], _FUNCTION)
     findings = spark.createDataFrame([(i, "r", "x", None, None, "a.java", line, line, "", None, None) for i, line in enumerate((12, 30, 60))], _FINDING)
