@@ -32,7 +32,7 @@ def callers_and_callees(d: Dialect) -> str:
         LEFT JOIN (SELECT a, {d.int("count(*)")} AS n FROM {_edges(d)} e GROUP BY a) o ON v.id = o.a LEFT JOIN (SELECT b, {d.int("count(*)")} AS n FROM {_edges(d)} e GROUP BY b) i ON v.id = i.b"""
 
 
-def paths_to_sink(d: Dialect, depth: int = 5) -> str:
+def sink_paths(d: Dialect, depth: int = 10) -> str:
     """Simple paths from entry points to the first sink on them, with at most ``depth`` edges; a sink that is an entry point is a path of itself."""
     text = "STRING" if d.spark else "VARCHAR"
     return f"""
@@ -44,6 +44,11 @@ def paths_to_sink(d: Dialect, depth: int = 5) -> str:
     """
 
 
+def paths_to_sink(d: Dialect) -> str:
+    """A fixture of ``sink_paths``: with at most five edges."""
+    return sink_paths(d, depth=5)
+
+
 def caller_chains(d: Dialect, depth: int = 4) -> str:
     """Backward from each sink: the callers at each distance, entry points not expanded, no node twice on a chain."""
     return f"""
@@ -55,4 +60,6 @@ def caller_chains(d: Dialect, depth: int = 4) -> str:
     """
 
 
-PLANS = (graph_stats, callers_and_callees, paths_to_sink, caller_chains)
+PLANS = (graph_stats, callers_and_callees, caller_chains)
+#: Plans by the names of their queries.
+NAMED = {"paths_to_sink": sink_paths}

@@ -74,6 +74,15 @@ def test_paths_are_simple_and_end_at_sinks(spark):
         assert nodes[0] % 10 == 0 and nodes[-1] % 9 == 0 and all(n % 9 for n in nodes[:-1])
 
 
+def test_paths_of_ten_edges_are_found(spark):
+    from siftwell.plans import triage_queries
+
+    suppliers = spark.createDataFrame([(i,) for i in range(100)], "s_suppkey bigint")
+    edges = [row.edges for row in run(graph.sink_paths, {"supplier": suppliers}).collect()]
+    assert len(edges) == 621 and max(edges) == 10  # the survey's probe of V4
+    assert triage_queries._PLANS["paths_to_sink"] is graph.sink_paths
+
+
 def test_weakest_factors_keep_the_order_of_ties(spark):
     breakdown = "struct<context_completeness: double, data_flow_visibility: double, sanitization_evidence: double, pattern_match_strength: double, caller_context: double, cross_file_resolution: double>"
     frame = spark.createDataFrame([(1, 1, 1, "f", "v", 0.5, "r", 1, 1, True, (0.5, 0.1, 0.5, 0.5, 0.9, 0.9))], f"result_id bigint, finding_no bigint, response_id bigint, finding_id string, verdict string, confidence double, reasoning string, tool_calls_made int, context_iterations int, final_iteration boolean, confidence_breakdown {breakdown}")
