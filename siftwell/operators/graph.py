@@ -1,62 +1,98 @@
-"""Traversals of a call graph given as edges: statistics, simple paths to sinks, caller chains, levels.
+"""Traversals of call graphs per repository: statistics, simple paths to sinks, caller chains, levels, first calls.
 
-Recursion is bounded in depth and guarded by the path itself, so no path visits a node twice.
+A graph is two subqueries, nodes (repo, id, entry, sink) and edges (repo, a, b), each row once; every plan takes
+another as ``of``. Recursion is bounded in depth and guarded by the path itself, so no path visits a node twice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from siftwell.operators import base, lookup, taint
 from siftwell.plans.dialect import Dialect
 
 
-def _nodes(d: Dialect) -> str:
-    return f"(SELECT CAST(s_suppkey AS BIGINT) AS id, s_suppkey % 10 = 0 AS entry, s_suppkey % 9 = 0 AS sink FROM {d.t('supplier')} s)"
+@dataclass(frozen=True)
+class Graph:
+    nodes: str
+    edges: str
+
 
+def code(d: Dialect) -> Graph:
+    """The call graph of functions: names of a repository, joined by resolved calls. A name is what one of its functions is."""
+    flag = lambda column: f"coalesce(bool_or(k.{column}), false)"
+    return Graph(
+        f"(SELECT f.repo, f.name AS id, {flag('is_entry_point')} AS entry, {flag('is_sink')} AS sink FROM {base.functions(d)} f LEFT JOIN ({taint.entry_points_and_sinks(d)}) k ON f.function_id = k.function_id GROUP BY f.repo, f.name)",
+        f"(SELECT repo, caller AS a, callee AS b FROM ({lookup.call_edges(d)}) c)",
+    )
 
-def _edges(d: Dialect) -> str:
-    """Two edges from each node; none to itself, each once."""
+
+def suppliers(d: Dialect) -> Graph:
+    """A fixture: two edges from each supplier; none to itself, each once."""
     n = f"(SELECT count(*) FROM {d.t('supplier')})"
-    return f"""(SELECT DISTINCT a, b FROM (SELECT CAST(s_suppkey AS BIGINT) AS a, CAST((s_suppkey * 7 + 3) % {n} AS BIGINT) AS b FROM {d.t('supplier')} s
-              UNION ALL SELECT CAST(s_suppkey AS BIGINT), CAST((s_suppkey * 11 + 5) % {n} AS BIGINT) FROM {d.t('supplier')} s) e WHERE a <> b)"""
+    return Graph(
+        f"(SELECT 'supplier' AS repo, CAST(s_suppkey AS BIGINT) AS id, s_suppkey % 10 = 0 AS entry, s_suppkey % 9 = 0 AS sink FROM {d.t('supplier')} s)",
+        f"""(SELECT DISTINCT 'supplier' AS repo, a, b FROM (SELECT CAST(s_suppkey AS BIGINT) AS a, CAST((s_suppkey * 7 + 3) % {n} AS BIGINT) AS b FROM {d.t('supplier')} s
+              UNION ALL SELECT CAST(s_suppkey AS BIGINT), CAST((s_suppkey * 11 + 5) % {n} AS BIGINT) FROM {d.t('supplier')} s) e WHERE a <> b)""",
+    )
+
 
+Of = Callable[[Dialect], Graph]
 
-def graph_stats(d: Dialect) -> str:
-    """Nodes, edges, entry points, sinks, mean callers and callees."""
-    edges = f"(SELECT count(*) FROM {_edges(d)} w)"
-    return f"""SELECT {d.int("count(*)")} AS nodes, {d.int(f"max({edges})")} AS edges, {d.int("count(CASE WHEN entry THEN 1 END)")} AS entries, {d.int("count(CASE WHEN sink THEN 1 END)")} AS sinks,
-        {d.double(f"max({edges}) * 1.0 / greatest(count(*), 1)")} AS mean_callees FROM {_nodes(d)} v"""
 
+def graph_stats(d: Dialect, of: Of = code) -> str:
+    """Per repository its nodes, edges, entry points, sinks, mean callees (as many as mean callers)."""
+    g = of(d)
+    return f"""SELECT v.repo, v.nodes, coalesce(e.edges, 0) AS edges, v.entries, v.sinks, {d.double("coalesce(e.edges, 0) * 1.0 / v.nodes")} AS mean_callees
+        FROM (SELECT repo, {d.int("count(*)")} AS nodes, {d.int("count(CASE WHEN entry THEN 1 END)")} AS entries, {d.int("count(CASE WHEN sink THEN 1 END)")} AS sinks FROM {g.nodes} x GROUP BY repo) v
+        LEFT JOIN (SELECT repo, {d.int("count(*)")} AS edges FROM {g.edges} y GROUP BY repo) e ON v.repo = e.repo"""
 
-def callers_and_callees(d: Dialect) -> str:
+
+def callers_and_callees(d: Dialect, of: Of = code) -> str:
     """Per node the number of its callers and callees."""
-    return f"""SELECT v.id, coalesce(o.n, 0) AS callees, coalesce(i.n, 0) AS callers FROM {_nodes(d)} v
-        LEFT JOIN (SELECT a, {d.int("count(*)")} AS n FROM {_edges(d)} e GROUP BY a) o ON v.id = o.a LEFT JOIN (SELECT b, {d.int("count(*)")} AS n FROM {_edges(d)} e GROUP BY b) i ON v.id = i.b"""
+    g = of(d)
+    return f"""SELECT v.repo, v.id, coalesce(o.n, 0) AS callees, coalesce(i.n, 0) AS callers FROM {g.nodes} v
+        LEFT JOIN (SELECT repo, a, {d.int("count(*)")} AS n FROM {g.edges} e GROUP BY repo, a) o ON v.repo = o.repo AND v.id = o.a
+        LEFT JOIN (SELECT repo, b, {d.int("count(*)")} AS n FROM {g.edges} e GROUP BY repo, b) i ON v.repo = i.repo AND v.id = i.b"""
 
 
-def sink_paths(d: Dialect, depth: int = 10) -> str:
-    """Simple paths from entry points to the first sink on them, with at most ``depth`` edges; a sink that is an entry point is a path of itself."""
+def _shown(d: Dialect, path: str) -> str:
     text = "STRING" if d.spark else "VARCHAR"
+    return d.join(f"{'transform' if d.spark else 'list_transform'}({path}, {'x ->' if d.spark else 'lambda x:'} CAST(x AS {text}))", " -> ")
+
+
+def sink_paths(d: Dialect, depth: int = 10, of: Of = code) -> str:
+    """Simple paths from entry points to the first sink on them, with at most ``depth`` edges; a sink that is an entry point is a path of itself."""
+    g = of(d)
     return f"""
-    WITH RECURSIVE e AS (SELECT a, b FROM {_edges(d)} x), v AS (SELECT id, entry, sink FROM {_nodes(d)} y),
-    p AS (SELECT id AS at, sink AS over, {d.list("id")} AS path, 0 AS edges FROM v WHERE entry
+    WITH RECURSIVE e AS (SELECT repo, a, b FROM {g.edges} x), v AS (SELECT repo, id, entry, sink FROM {g.nodes} y),
+    p AS (SELECT repo, id AS at, sink AS over, {d.list("id")} AS path, 0 AS edges FROM v WHERE entry
           UNION ALL
-          SELECT e.b, v.sink, {d.append("p.path", "e.b")}, p.edges + 1 FROM p JOIN e ON p.at = e.a JOIN v ON e.b = v.id WHERE NOT p.over AND p.edges < {depth} AND NOT {d.has("p.path", "e.b")})
-    SELECT {d.join(f"{'transform' if d.spark else 'list_transform'}(path, {'x ->' if d.spark else 'lambda x:'} CAST(x AS {text}))", " -> ")} AS path, CAST(edges AS BIGINT) AS edges FROM p WHERE over
+          SELECT p.repo, e.b, v.sink, {d.append("p.path", "e.b")}, p.edges + 1 FROM p JOIN e ON p.repo = e.repo AND p.at = e.a JOIN v ON e.repo = v.repo AND e.b = v.id WHERE NOT p.over AND p.edges < {depth} AND NOT {d.has("p.path", "e.b")})
+    SELECT repo, {_shown(d, "path")} AS path, CAST(edges AS BIGINT) AS edges FROM p WHERE over
     """
 
 
 def paths_to_sink(d: Dialect) -> str:
-    """A fixture of ``sink_paths``: with at most five edges."""
-    return sink_paths(d, depth=5)
+    """A fixture of ``sink_paths``: over suppliers, with at most five edges."""
+    return sink_paths(d, depth=5, of=suppliers)
 
 
-def caller_chains(d: Dialect, depth: int = 4) -> str:
-    """Backward from each sink: the callers at each distance, entry points not expanded, no node twice on a chain."""
+def _chains(d: Dialect, depth: int, of: Of) -> str:
+    g = of(d)
     return f"""
-    WITH RECURSIVE e AS (SELECT a, b FROM {_edges(d)} x), v AS (SELECT id, entry, sink FROM {_nodes(d)} y),
-    p AS (SELECT id AS sink_id, id AS node, false AS over, {d.list("id")} AS path, 0 AS distance FROM v WHERE sink
+    WITH RECURSIVE e AS (SELECT repo, a, b FROM {g.edges} x), v AS (SELECT repo, id, entry, sink FROM {g.nodes} y),
+    p AS (SELECT repo, id AS sink_id, id AS node, entry AS over, {d.list("id")} AS path, 0 AS distance FROM v WHERE sink
           UNION ALL
-          SELECT p.sink_id, e.a, v.entry, {d.append("p.path", "e.a")}, p.distance + 1 FROM p JOIN e ON p.node = e.b JOIN v ON e.a = v.id WHERE NOT p.over AND p.distance < {depth} AND NOT {d.has("p.path", "e.a")})
-    SELECT sink_id, {d.int("distance")} AS distance, {d.int("count(DISTINCT node)")} AS callers, {d.int("count(CASE WHEN over THEN 1 END)")} AS entry_chains FROM p WHERE distance > 0 GROUP BY sink_id, distance
+          SELECT p.repo, p.sink_id, e.a, v.entry, {d.append("p.path", "e.a")}, p.distance + 1 FROM p JOIN e ON p.repo = e.repo AND p.node = e.b JOIN v ON e.repo = v.repo AND e.a = v.id WHERE NOT p.over AND p.distance < {depth} AND NOT {d.has("p.path", "e.a")})
+    """
+
+
+def caller_chains(d: Dialect, depth: int = 4, of: Of = code) -> str:
+    """Backward from each sink: the callers at each distance, entry points not expanded, no node twice on a chain."""
+    return f"""{_chains(d, depth, of)}
+    SELECT repo, sink_id, {d.int("distance")} AS distance, {d.int("count(DISTINCT node)")} AS callers, {d.int("count(CASE WHEN over THEN 1 END)")} AS entry_chains FROM p WHERE distance > 0 GROUP BY repo, sink_id, distance
     """
 
 

@@ -78,11 +78,24 @@ def test_paths_of_ten_edges_are_found(spark):
     from siftwell.plans import triage_queries
 
     suppliers = spark.createDataFrame([(i,) for i in range(100)], "s_suppkey bigint")
-    edges = [row.edges for row in run(graph.sink_paths, {"supplier": suppliers}).collect()]
+    edges = [row.edges for row in run(lambda d: graph.sink_paths(d, of=graph.suppliers), {"supplier": suppliers}).collect()]
     assert len(edges) == 621 and max(edges) == 10  # the survey's probe of V4
     assert triage_queries._PLANS["paths_to_sink"] is graph.sink_paths
 
 
+def test_graphs_are_those_of_the_code(spark):
+    codes = [
+        ("r", "get", '@GetMapping("/x")\npublic void get() {\n  step(a);\n  gone(a);\n}'), ("r", "step", "void step() {\n  save(a);\n}"), ("r", "save", "void save() {\n  stmt.executeQuery(a);\n  step(b);\n}"), ("r", "alone", "void alone() {}"),
+        ("q", "save", "void save() {\n  stmt.executeQuery(a);\n}"), ("q", "step", "void step() {\n}"),
+    ]
+    frames = {"functions": spark.createDataFrame([(i, repo, f"f{i}.java", name, None, 1, 9, code) for i, (repo, name, code) in enumerate(codes)], _FUNCTION)}
+    rows = lambda plan: sorted(tuple(r) for r in run(plan, frames).collect())
+    assert rows(graph.graph_stats) == [("q", 2, 0, 0, 1, 0.0), ("r", 4, 3, 1, 1, 0.75)]
+    assert rows(graph.callers_and_callees) == [("q", "save", 0, 0), ("q", "step", 0, 0), ("r", "alone", 0, 0), ("r", "get", 1, 0), ("r", "save", 1, 1), ("r", "step", 1, 2)]
+    assert rows(graph.sink_paths) == [("r", "get -> step -> save", 2)]
+    assert rows(graph.caller_chains) == [("r", "save", 1, 1, 0), ("r", "save", 2, 1, 1)]
+
+
 def test_weakest_factors_keep_the_order_of_ties(spark):
     breakdown = "struct<context_completeness: double, data_flow_visibility: double, sanitization_evidence: double, pattern_match_strength: double, caller_context: double, cross_file_resolution: double>"
     frame = spark.createDataFrame([(1, 1, 1, "f", "v", 0.5, "r", 1, 1, True, (0.5, 0.1, 0.5, 0.5, 0.9, 0.9))], f"result_id bigint, finding_no bigint, response_id bigint, finding_id string, verdict string, confidence double, reasoning string, tool_calls_made int, context_iterations int, final_iteration boolean, confidence_breakdown {breakdown}")
