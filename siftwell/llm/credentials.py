@@ -31,8 +31,8 @@ from siftwell.storage import spread
 
 # Words without which no rule below can match (case folded).
 KEYWORDS = (
-    "pass", "pwd", "_pw", "secret", "token", "key", "auth", "credential", "bearer", "basic ", "private key", "://", "connect", "login",
-    "-u ", "--user", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "sk_live_", "rk_live_", "aiza", "eyj", "npm_", "pypi-", "sg.", "hooks.slack",
+    "pass", "pwd", "pw", "pin", "secret", "token", "key", "auth", "credential", "bearer", "basic", "private key", "://", "connect", "login",
+    "account", "user", "-u ", "-u=", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "sk_live_", "rk_live_", "aiza", "eyj", "npm_", "pypi-", "sg.", "hooks.slack",
 )
 
 # Published token formats of issuers.

@@ -76,6 +76,16 @@ def test_credentials(text, lines):
         assert bool(spans) == (masked != text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    ['dbPw = "Maple-1234Qz"', 'userPin = "Maple-1234Qz"', 'pin = "Maple-1234Qz"', "// account svc_x / Quartz%5841!", "// user svc_x / Quartz%5841!", "curl --proxy-user svc:gravel.harvest.773 x", "curl -u=svc:gravel.harvest.773 x", "Authorize: Basic\tdXNlcjpNYXBsZS0xMjM0UXo="]
+    + [f'x_{last} = "Maple-1234Qz"' for last in sorted(credentials._SECRET_LAST)]
+    + [f'{before}Key = "Maple-1234Qz"' for before in sorted(credentials._KEY_BEFORE)],
+)
+def test_every_rule_passes_the_prefilter(text):
+    assert len(credentials.Finder().find(text)) == 1
+
+
 def test_credential_tables(spark):
     findings = spark.createDataFrame([(1, 'pwd = "Maple-1234Qz"')] * 2 + [(2, None), (3, "")], "finding_no bigint, code_snippet string")
     tools = spark.createDataFrame([], "tool_result_id bigint, content string")
