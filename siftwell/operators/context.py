@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from siftwell.functions import catalogs as c
-from siftwell.operators import base, lookup, taint
+from siftwell.operators import base, lookup
 from siftwell.plans.dialect import Dialect
 
 
@@ -16,34 +16,12 @@ def rule_questions(d: Dialect) -> str:
         FROM (SELECT rule_id, {d.rx("file_path", "[.]java$")} AS is_java FROM {d.t('findings')} f WHERE rule_id IS NOT NULL AND file_path IS NOT NULL) x"""
 
 
-def taint_paths(d: Dialect) -> str:
-    """Per source the first later line with a sink for its variable or one tainted by it directly, and whether a sanitizer stands between."""
-    sink, clean = d.any("l.text", [p for p, _ in c.SINKS]), d.any("l.text", [p for p, _ in c.SANITIZERS])
-    return f"""
-    SELECT function_id, line_no, variable, {d.int("sink_line")} AS sink_line, {d.int("cleaned")} AS sanitizers, cleaned > 0 AS is_sanitized
-    FROM (SELECT s.function_id, s.line_no, s.variable, min(CASE WHEN {sink} THEN l.line_no END) AS sink_line, count(CASE WHEN {clean} THEN 1 END) AS cleaned
-          FROM ({taint.taint_sources(d)}) s JOIN {base.function_lines(d)} l ON s.function_id = l.function_id AND l.line_no > s.line_no GROUP BY s.function_id, s.line_no, s.variable) p
-    WHERE sink_line IS NOT NULL
-    """
-
-
 def caller_flags(d: Dialect) -> str:
     """Per function that may call others: is it an entry point, and how many sanitizers does it use?"""
     entry = " OR ".join(f"contains(source_code, {d.lit(p)}) OR coalesce(contains(class_name, {d.lit(p)}), false)" for p in c.CALLER_ENTRY)
     return f"SELECT function_id, {entry} AS is_entry, {d.count('source_code', '(?i)' + '|'.join(f'(?:{p})' for p in c.CALLER_SANITIZERS))} AS sanitizers FROM {base.functions(d)} f"
 
 
-def safety_through_callers(d: Dialect) -> str:
-    """Unsafe functions that a sanitizing caller in their repository makes safe."""
-    return f"""
-    SELECT s.function_id, s.unsafe_paths, {d.int("coalesce(max(k.sanitizers), 0)")} AS caller_sanitizers, coalesce(max(k.sanitizers), 0) > 0 AS safe_through_caller
-    FROM ({taint.function_safety(d)}) s JOIN {base.functions(d)} g ON s.function_id = g.function_id
-    LEFT JOIN ({lookup.call_edges(d)}) e ON g.repo = e.repo AND g.name = e.callee
-    LEFT JOIN (SELECT f.repo, f.name, max(k.sanitizers) AS sanitizers FROM ({caller_flags(d)}) k JOIN {base.functions(d)} f ON k.function_id = f.function_id GROUP BY f.repo, f.name) k ON e.repo = k.repo AND e.caller = k.name
-    WHERE s.is_safe = 0 GROUP BY s.function_id, s.unsafe_paths
-    """
-
-
 def source_and_sink_text(d: Dialect) -> str:
     """Source and sink of a finding in words, for prompts."""
     parameter = d.ex("code_snippet", r"request\.getParameter\(['\"](\w+)['\"]\)")
@@ -70,4 +48,4 @@ def turns_by_role(d: Dialect) -> str:
     return f"SELECT conv_id, {', '.join(f'''{d.int(f'count(CASE WHEN role = {chr(39)}{r}{chr(39)} THEN 1 END)')} AS {r}_turns''' for r in ('system', 'user', 'assistant', 'tool'))}, {last} AS last_role FROM {base.messages(d)} m GROUP BY conv_id"
 
 
-PLANS = (rule_questions, taint_paths, caller_flags, safety_through_callers, source_and_sink_text, hits_by_kind, tool_usage, turns_by_role)
+PLANS = (rule_questions, caller_flags, source_and_sink_text, hits_by_kind, tool_usage, turns_by_role)

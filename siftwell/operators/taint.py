@@ -1,7 +1,6 @@
-"""Data flow within a function: sources, sanitizers and sinks by line, propagation through assignments, safety.
+"""Sources, sanitizers and sinks by line.
 
 All catalogs are compiled into projections over the lines of a function; nothing is joined to a pattern table.
-Propagation is a fold over the lines in their order, inside one row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -31,58 +30,6 @@ def taint_sources(d: Dialect) -> str:
     return f"SELECT function_id, line_no, variable, source_types FROM {_sources(d)} s"
 
 
-def taint_propagate(d: Dialect) -> str:
-    """Per source variable the variables tainted by one forward pass over the lines after it, in name order.
-
-    A line adds the variable it assigns if another tainted variable occurs on it as a word; what it adds is
-    seen by later lines only.
-    """
-    if d.spark:
-        assigned = d.first_group("x", c.ASSIGNED)
-        return f"""
-        SELECT s.function_id, s.line_no, s.variable,
-               array_join(array_sort(aggregate(slice(f.ls, s.line_no + 1, greatest(size(f.ls) - s.line_no, 0)), array(s.variable), (acc, x) ->
-                 CASE WHEN x.v IS NOT NULL AND exists(acc, a -> a <> x.v AND x.t RLIKE concat('\\\\b', a, '\\\\b')) THEN array_union(acc, array(x.v)) ELSE acc END)), ',') AS tainted
-        FROM {_sources(d)} s JOIN (SELECT function_id, transform(split(source_code, '\\\\n', -1), x -> named_struct('t', x, 'v', {assigned})) AS ls FROM {base.functions(d)} f0) f ON s.function_id = f.function_id
-        """
-    return f"""
-    WITH RECURSIVE ls AS (SELECT function_id, line_no, text, {d.first_group("text", c.ASSIGNED)} AS v FROM {base.function_lines(d)} l),
-    src AS (SELECT * FROM {_sources(d)} s),
-    step AS (
-      SELECT function_id, line_no AS source_line, variable, line_no AS at_line, [variable] AS acc FROM src
-      UNION ALL
-      SELECT p.function_id, p.source_line, p.variable, p.at_line + 1,
-             CASE WHEN l.v IS NOT NULL AND len(list_filter(p.acc, lambda a: a <> l.v AND regexp_matches(l.text, '\\b' || a || '\\b'))) > 0 AND NOT list_contains(p.acc, l.v) THEN list_append(p.acc, l.v) ELSE p.acc END
-      FROM step p JOIN ls l ON l.function_id = p.function_id AND l.line_no = p.at_line + 1)
-    SELECT function_id, source_line AS line_no, variable, array_to_string(list_sort(arg_max(acc, at_line)), ',') AS tainted FROM step GROUP BY ALL HAVING true
-    """.replace("GROUP BY ALL HAVING true", "GROUP BY function_id, source_line, variable")
-
-
-def _flows(d: Dialect) -> str:
-    """Per source and tainted variable (the source's own) its sinks and sanitizers after the source."""
-    return f"""(SELECT s.function_id, s.line_no, s.variable,
-        {d.int(f"sum(CASE WHEN {d.any('l.text', [p for p, _ in c.SINKS])} THEN 1 ELSE 0 END)")} AS sink_lines,
-        {d.int(f"sum(CASE WHEN {d.any('l.text', [p for p, _ in c.SANITIZERS])} THEN 1 ELSE 0 END)")} AS sanitizer_lines
-      FROM {_sources(d)} s JOIN {base.function_lines(d)} l ON s.function_id = l.function_id AND l.line_no > s.line_no AND {d.rx_word("l.text", "s.variable")}
-      GROUP BY s.function_id, s.line_no, s.variable)"""
-
-
-def taint_flows(d: Dialect) -> str:
-    """Per source variable how many later lines with it hold a sink, and a sanitizer."""
-    return f"SELECT * FROM {_flows(d)} f WHERE sink_lines > 0 OR sanitizer_lines > 0"
-
-
-def function_safety(d: Dialect) -> str:
-    """Per function with a source: paths to sinks, unsanitized ones, and whether it is safe (no path is safe too)."""
-    return f"""
-    SELECT s.function_id, {d.int("count(*)")} AS sources, {d.int("sum(CASE WHEN f.sink_lines > 0 THEN 1 ELSE 0 END)")} AS paths,
-           {d.int("sum(CASE WHEN f.sink_lines > 0 AND f.sanitizer_lines = 0 THEN 1 ELSE 0 END)")} AS unsafe_paths,
-           {d.int("min(CASE WHEN f.sink_lines > 0 AND f.sanitizer_lines = 0 THEN 0 ELSE 1 END)")} AS is_safe
-    FROM {_sources(d)} s LEFT JOIN {_flows(d)} f ON s.function_id = f.function_id AND s.line_no = f.line_no AND s.variable = f.variable
-    GROUP BY s.function_id
-    """
-
-
 def sanitizer_effectiveness(d: Dialect) -> str:
     """Per line and sanitizer found literally on it: how effective it is."""
     parts = " UNION ALL ".join(f"SELECT function_id, line_no, {d.lit(word)} AS sanitizer, {d.lit(effect)} AS effect FROM ls WHERE contains(text, {d.lit(word)})" for word, effect in c.EFFECTIVENESS)
@@ -95,4 +42,4 @@ def entry_points_and_sinks(d: Dialect) -> str:
     return f"SELECT function_id, lang, {flag(c.ENTRY_POINTS)} AS is_entry_point, {flag(c.CODE_SINKS)} AS is_sink FROM (SELECT function_id, source_code, {base.language(d)} AS lang FROM {base.functions(d)} f) x WHERE lang IS NOT NULL"
 
 
-PLANS = (taint_hits, taint_sources, taint_propagate, taint_flows, function_safety, sanitizer_effectiveness, entry_points_and_sinks)
+PLANS = (taint_hits, taint_sources, sanitizer_effectiveness, entry_points_and_sinks)

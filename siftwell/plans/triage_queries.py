@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siftwell.operators import classify, code, confidence, context, graph, lookup, report, taint, transcripts
+from siftwell.operators import classify, code, confidence, context, lookup, report, taint, transcripts
 from siftwell.plans.dialect import query, sql
 
-_PLANS = {plan.__name__: plan for module in (taint, classify, confidence, transcripts, report, lookup, graph, code, context) for plan in module.PLANS} | graph.NAMED
+_PLANS = {plan.__name__: plan for module in (taint, classify, confidence, transcripts, report, lookup, code, context) for plan in module.PLANS}
 
 QUERIES = {name: query(plan) for name, plan in _PLANS.items()}
 SQL = {name: sql(plan) for name, plan in _PLANS.items()}

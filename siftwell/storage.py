@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     own = getattr(spark.sparkContext, "_siftwell_shared", None)
     if own is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"set {_KEY} to a folder that all executors share")
         own = f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
         spark.sparkContext._siftwell_shared = own
@@ -29,13 +30,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors.
+
+    Results are lazy, so a table must outlive the call that wrote it. It is deleted by ``cleanup``, or when the
+    driver's JVM ends in order; a driver that is killed leaves its tables.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written = _path(spark, path)
+    written[0].deleteOnExit(written[1])
+    _written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _written(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_siftwell_written"):
+        context._siftwell_written = []
+    return context._siftwell_written
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` has written in this session; call it when the results have been used. Returns how many."""
+    gone = 0
+    while _written(spark):
+        files, place = _path(spark, _written(spark).pop())
+        gone += bool(files.delete(place, True))
+    return gone
+
+
 def busy_partitions(spark: SparkSession) -> int:
     """Partitions for costly work per row: some for each core, and no fewer than the session's shuffles have."""
     return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

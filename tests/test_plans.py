@@ -1,6 +1,6 @@
 """Semantics of the triage plans on small tables made by hand."""
 
-from siftwell.operators import classify, confidence, graph, lookup, taint, transcripts
+from siftwell.operators import callgraph, classify, confidence, dataflow, lookup, taint, transcripts
 from siftwell.plans.dialect import run
 
 _FUNCTION = "function_id bigint, repo string, file_path string, name string, class_name string, start_line int, end_line int, source_code string"
@@ -16,19 +16,6 @@ def _findings(spark, *rows):
     return {"findings": spark.createDataFrame([(i, "r", rule, None, None, "a.java", 1, 1, code, None, None) for i, (rule, code) in enumerate(rows)], _FINDING)}
 
 
-def test_taint_flows_forward_only(spark):
-    code = 'String b = a + "x";\nString a = request.getParameter("q");\nString c = a.trim();\nString d = c;\nstmt.executeQuery(d);'
-    (row,) = run(taint.taint_propagate, _functions(spark, code)).collect()
-    assert (row.variable, row.tainted) == ("a", "a,c,d")
-
-
-def test_unsanitized_source_makes_a_function_unsafe(spark):
-    unsafe = 'String q = request.getParameter("q");\nstmt.executeQuery("select " + q);'
-    safe = 'String q = request.getParameter("q");\nlog(q);'
-    rows = {r.function_id: r.is_safe for r in run(taint.function_safety, _functions(spark, unsafe, safe)).collect()}
-    assert rows == {0: 0, 1: 1}
-
-
 def test_first_part_of_a_rule_decides(spark):
     rows = run(classify.rule_kind, _findings(spark, ("xss-injection", ""), ("httpservlet-path-traversal", ""), ("ssrf", ""), ("zzz", ""))).collect()
     assert {r.rule_id: r.kind for r in rows} == {"xss-injection": "sql_injection", "httpservlet-path-traversal": "xss", "ssrf": "ssrf", "zzz": "unknown"}
@@ -66,36 +53,6 @@ def test_innermost_function_is_found(spark):
     assert got == {0: "inner", 1: "outer"}
 
 
-def test_paths_are_simple_and_end_at_sinks(spark):
-    suppliers = spark.createDataFrame([(i,) for i in range(40)], "s_suppkey bigint")
-    for row in run(graph.paths_to_sink, {"supplier": suppliers}).collect():
-        nodes = [int(n) for n in row.path.split(" -> ")]
-        assert len(set(nodes)) == len(nodes) == row.edges + 1 <= 6
-        assert nodes[0] % 10 == 0 and nodes[-1] % 9 == 0 and all(n % 9 for n in nodes[:-1])
-
-
-def test_paths_of_ten_edges_are_found(spark):
-    from siftwell.plans import triage_queries
-
-    suppliers = spark.createDataFrame([(i,) for i in range(100)], "s_suppkey bigint")
-    edges = [row.edges for row in run(lambda d: graph.sink_paths(d, of=graph.suppliers), {"supplier": suppliers}).collect()]
-    assert len(edges) == 621 and max(edges) == 10  # the survey's probe of V4
-    assert triage_queries._PLANS["paths_to_sink"] is graph.sink_paths
-
-
-def test_graphs_are_those_of_the_code(spark):
-    codes = [
-        ("r", "get", '@GetMapping("/x")\npublic void get() {\n  step(a);\n  gone(a);\n}'), ("r", "step", "void step() {\n  save(a);\n}"), ("r", "save", "void save() {\n  stmt.executeQuery(a);\n  step(b);\n}"), ("r", "alone", "void alone() {}"),
-        ("q", "save", "void save() {\n  stmt.executeQuery(a);\n}"), ("q", "step", "void step() {\n}"),
-    ]
-    frames = {"functions": spark.createDataFrame([(i, repo, f"f{i}.java", name, None, 1, 9, code) for i, (repo, name, code) in enumerate(codes)], _FUNCTION)}
-    rows = lambda plan: sorted(tuple(r) for r in run(plan, frames).collect())
-    assert rows(graph.graph_stats) == [("q", 2, 0, 0, 1, 0.0), ("r", 4, 3, 1, 1, 0.75)]
-    assert rows(graph.callers_and_callees) == [("q", "save", 0, 0), ("q", "step", 0, 0), ("r", "alone", 0, 0), ("r", "get", 1, 0), ("r", "save", 1, 1), ("r", "step", 1, 2)]
-    assert rows(graph.sink_paths) == [("r", "get -> step -> save", 2)]
-    assert rows(graph.caller_chains) == [("r", "save", 1, 1, 0), ("r", "save", 2, 1, 1)]
-
-
 def test_weakest_factors_keep_the_order_of_ties(spark):
     breakdown = "struct<context_completeness: double, data_flow_visibility: double, sanitization_evidence: double, pattern_match_strength: double, caller_context: double, cross_file_resolution: double>"
     frame = spark.createDataFrame([(1, 1, 1, "f", "v", 0.5, "r", 1, 1, True, (0.5, 0.1, 0.5, 0.5, 0.9, 0.9))], f"result_id bigint, finding_no bigint, response_id bigint, finding_id string, verdict string, confidence double, reasoning string, tool_calls_made int, context_iterations int, final_iteration boolean, confidence_breakdown {breakdown}")

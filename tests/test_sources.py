@@ -73,3 +73,11 @@ def test_stream_ends_in_the_state_of_the_batch(spark, tmp_path):
     query.stop()
     last = spark.table("tool_state_test").groupBy("tool_call_id").agg(F.max_by(F.struct("results", "hits", "sanitizers"), "results").alias("s")).collect()
     assert {r.tool_call_id: tuple(r.s) for r in last} == {"c1": (3, 2, "PreparedStatement,escape"), "c2": (1, 1, "sanitize")}
+
+
+def test_cut_tables_are_deleted(spark):
+    from siftwell.storage import cleanup, cut
+
+    frame = cut(spark.range(3).toDF("n"), "three")
+    assert frame.count() == 3
+    assert cleanup(spark) >= 1 and cleanup(spark) == 0
