@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -81,24 +82,24 @@ _FOREIGN = re.compile("[\u0370-\uffff]")
 _SCRIPTS = (("ja", re.compile(r"[\u3040-ヿ]")), ("zh", re.compile(r"[一-鿿]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("ko", re.compile(r"[가-\ud7af]")), ("ar", re.compile(r"[\u0600-ۿ]")), ("el", re.compile(r"[Ͱ-Ͽ]")))
 
 
-def language(prose: str, words: list[str] | None = None) -> tuple[str | None, dict[str, float]]:
-    """The language most votes are for (None without a clear winner) and the votes. ``words``: those of the lower-case prose, if known."""
+def language(prose: str, words: dict[str, int] | None = None) -> tuple[str | None, dict[str, float]]:
+    """The language most votes are for (None without a clear winner) and the votes. ``words``: counts of those of the lower-case prose, if known."""
     if _FOREIGN.search(prose):
         letters = sum(map(str.isalpha, prose))
         for name, script in _SCRIPTS:
             if letters and len(script.findall(prose)) > (0.1 if name == "ja" else 0.3) * letters:
                 return name, {name: 99.0}
     votes: dict[str, float] = {}
-    for word in _WORD.findall(prose.lower()) if words is None else words:
+    for word, times in (Counter(_WORD.findall(prose.lower())) if words is None else words).items():
         langs = _VOTES.get(word)
         if langs is not None:
-            weight = _WEIGHT[min(3, len(langs))]
+            weight = _WEIGHT[min(3, len(langs))] * times
             for lang in langs:
                 votes[lang] = votes.get(lang, 0) + weight
         elif not word.isascii():
             for lang, mark in _SPELLING:
                 if mark.search(word):
-                    votes[lang] = votes.get(lang, 0) + 0.5
+                    votes[lang] = votes.get(lang, 0) + 0.5 * times
     if not votes:
         return None, votes
     ranked = sorted(votes.items(), key=lambda x: -x[1])

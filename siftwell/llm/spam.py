@@ -1,17 +1,17 @@
 """Keyword-stuffed pages, link lists, tag and product lists among documents.
 
-Of each document, read whole, six features are taken: density of links, share of function words, share of
-words in sentences, word entropy, repetition of phrases, and density of list separators. Documents are grouped
-by the language their stopwords and scripts vote for (the language column may be wrong). Per group, medians
-and median absolute deviations give robust centres and scales, the correlations of the clipped scores a robust
-scatter matrix; the Mahalanobis distance of a document to its group is taken with them. Outliers are kept only
-where they lie in a direction of spam: more links, separators and repetition, fewer function words and
-sentences. An exact check of the segments of the suspects follows: most of the text must stand in segments
-that are links, keywords, tags or items, or in sentences stuffed with one phrase; code, logs, tables,
-changelogs and annotated lists are none of these.
-
-Only counts per group and feature are gathered (languages x features numbers). A group too small for its own
-scatter borrows that of all documents.
+Of each document, read whole, seven features are taken: density of links, share of function words, word entropy,
+repetition of word pairs, density of separators, share of the text in listed segments (links, labels, tags, items;
+code, logs, tables, annotated lists and references of a text are none) and share of the words of its sentences in dense
+phrases. Documents are grouped by the language their stopwords and scripts vote for (the language column may be wrong).
+Per group, medians and median absolute deviations give robust centres and scales, the correlations of the clipped
+scores a robust scatter matrix. The Mahalanobis distance of a document to its group decides: outliers are spam
+where their distance along a direction of spam (lists; stuffed phrases) is great.
+
+A group's model is mixed with that of all documents in proportion to its size, so small groups have no model of
+their own and no size changes the rule.
+
+Only counts per group and feature are gathered (languages x features numbers).
 
 Defined cases: null, empty and blank texts are not spam; copies of a text are judged alike; a table without
 spread in a feature (all documents alike) has no outliers in it; very long texts cost linear time.
@@ -32,12 +32,19 @@ from pyspark.sql import functions as F
 from siftwell.llm.pairs import STOPWORDS, language
 from siftwell.storage import cut, spread
 
-FEATURES = ("links", "function", "sentences", "entropy", "repetition", "separators")
-#: Direction of spam along the features.
-DIRECTION = np.array([1.0, -1.0, -1.0, -0.5, 1.0, 1.0])
-#: An outlier is beyond this squared distance (chi-square of six degrees of freedom, 0.975).
-DISTANCE = 14.45
-LEAST_GROUP = 200
+FEATURES = ("links", "function", "entropy", "repetition", "separators", "listing", "stuffing")
+#: Directions of spam along the features, in scores: lists of links, tags and items; phrases stuffed into sentences.
+DIRECTIONS = np.array([[0.2, -0.2, 0.0, 0.0, 0.1, 1.0, 0.0], [0.0, -0.5, -0.3, 0.8, 0.0, 0.0, 1.0]])
+#: An outlier is beyond this squared distance (chi-square of seven degrees of freedom, 0.9999) ...
+DISTANCE = 29.9
+#: ... and lies in a direction of spam if its distance along one of them (signed, as a root) is at least so great.
+TOWARD = 9.3
+#: Robust scales have floors: in features in which half of the documents agree, and in shares of a text.
+FLOOR = np.array([0.05, 0.05, 0.05, 0.1, 0.05, 0.05, 0.03])
+#: A group's centre, scale and correlations are mixed with those of all documents as if so many of these belonged to it.
+PRIOR = 200.0
+#: Share of the identity in a group's correlations.
+RIDGE = 0.3
 _CLIP = 3.0
 ALL = "(all)"
 
@@ -57,6 +64,11 @@ _HEADING = re.compile(r"^\W*(?:references?|r[ée]f[ée]rences?|verweise|quellen|
 _BULLET = re.compile(r"^(?:[-*•+]|\[?\d+[.)\]])\s+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _VARIABLE = re.compile(r"`[^`\n]*`|\b\w+\.(?:java|py|js|ts)\b|\d+")
+_HASHED = re.compile(r"(?:^|\s)#\w")
+_RULE = re.compile(r"[-+|: ]{5}")
+_ENDING = re.compile(r"[.!?:]['\"»)]*\s*$|[.!?]\s")
+_ASIAN_ITEMS = re.compile(r"[、，,|;；/·•\s]+")
+_ASIAN_END = re.compile(r"[。！？]")
 _ITEMS = re.compile(r"\s*(?:[,|;»•·>]|\s[-–—]\s|\s{2,})\s*")
 
 _FUNCTION = {lang: frozenset(words.split()) for lang, words in STOPWORDS.items()}
@@ -64,16 +76,13 @@ _ANY_FUNCTION = frozenset().union(*_FUNCTION.values())
 
 
 def _function_share(words: list[str], lang: str | None) -> float:
-    known = _FUNCTION.get(lang or "", _ANY_FUNCTION)
-    return sum(w in known for w in words) / len(words) if words else 0.0
+    return sum(map(_FUNCTION.get(lang or "", _ANY_FUNCTION).__contains__, words)) / len(words) if words else 0.0
 
 
 def _stuffed_words(words: list[str]) -> int:
     """Words inside phrases of two to four words that come back so often that the text is about little else."""
     covered = bytearray(len(words))
     for n in (4, 3, 2):
-        if len(words) < 6 * n:
-            continue
         grams = list(zip(*(words[i:] for i in range(n))))
         # Phrases with a function word at an end are syntax and no keywords.
         often = {g for g, k in Counter(grams).items() if k >= 4 and k * n >= 0.06 * len(words) and g[0] not in _ANY_FUNCTION and g[-1] not in _ANY_FUNCTION}
@@ -84,40 +93,63 @@ def _stuffed_words(words: list[str]) -> int:
     return sum(covered)
 
 
-def _said(said: dict[str, str], line: str) -> bool:
-    for part in _SENTENCE.split(line):
-        said.setdefault(_VARIABLE.sub("", part), part)
-    return True
+def _stuffing(lines: list[str]) -> float:
+    """Share of the words of sentences that stand in dense phrases. A sentence said twice, or with another name or number in it, counts once."""
+    said: dict[str, str] = {}
+    for line in lines:
+        for part in _SENTENCE.split(line):
+            said.setdefault(_VARIABLE.sub("", part), part)
+    told = [w for part in said.values() for w in _WORD.findall(part.lower())]
+    return _stuffed_words(told) / len(told) if told else 0.0
+
+
+def _asian_list(rest: str, linked: bool) -> bool:
+    """Is a line of a script without blanks a link, or items in a row?"""
+    if linked:
+        return len(rest.strip()) < 20
+    items = [i for i in _ASIAN_ITEMS.split(rest) if i]
+    return len(items) >= 5 and not _ASIAN_END.search(rest) and sum(map(len, items)) <= 8 * len(items)
 
 
-def features(text: str) -> tuple[str, list[float], float]:
-    """Language group, the six features, and the share of the text in spam segments (the exact check)."""
-    prose = _TAGGED.sub(" ", _ANCHOR.sub(r"\1 \g<0>", text)) if "<" in text else text
-    links = _URL.findall(text)
-    bare = _URL.sub(" ", _MARKDOWN.sub(r"\1", prose))
-    words = _WORD.findall(bare.lower())
-    lang, _ = language(bare, words)
+def features(text: str) -> tuple[str, list[float]]:
+    """Language group and the features of a text; linear in its length."""
+    has_url = "://" in text or "www." in text.lower()
+    tags, brackets = "<" in text, "](" in text
+    lines: list[tuple[str, str, str, int, list[str]]] = []
+    words: list[str] = []
+    link_size = separators = 0
+    for line in text.split("\n"):
+        body = line.strip()
+        if not body:
+            continue
+        rest, urls = body, 0
+        if has_url:
+            urls = sum(map(len, _URL.findall(body)))
+            link_size += urls
+        if tags and "<" in body:
+            rest = _TAGGED.sub(" ", _ANCHOR.sub(r"\1", body))
+        if brackets and "](" in rest:
+            rest = _MARKDOWN.sub(lambda m: " " + m[1] + " ", rest)
+        if urls:
+            rest = _URL.sub(" ", rest)
+        tokens = _WORD.findall(rest.lower())
+        words += tokens
+        separators += rest.count(",") + rest.count("|") + rest.count("•") + rest.count("#") + rest.count(" - ") + rest.count(" – ")
+        lines.append((line, body, rest, urls, tokens))
+    count = Counter(words)
+    lang, _ = language(text, count)
     size = max(1, len(text.strip()))
     asian = bool(_ASIAN.search(text)) and len(_ASIAN.findall(text)) > 0.2 * size
-    count = Counter(words)
     n = max(1, len(words))
     entropy = -sum(c / n * math.log2(c / n) for c in count.values()) / max(1.0, math.log2(n)) if words else 0.0
-    pairs = Counter(zip(words, words[1:]))
-    repetition = sum(c for c in pairs.values() if c > 2) / n
+    repetition = sum(c for c in Counter(zip(words, words[1:])).values() if c > 2) / n
     function = 0.4 if asian or lang in ("ru", "ko", "ar", "el") else _function_share(words, lang)
-    separators = len(re.findall(r"[,|»•#]|\s[-–]\s", bare)) / n
+    known = _FUNCTION.get(lang or "", _ANY_FUNCTION).__contains__
     total = spam = sentence = 0.0
-    total = spam = sentence = 0.0
-    # A sentence said twice is no phrase said twice: each counts once.
-    told = [w.lower() for part in dict.fromkeys(p.strip() for p in _SENTENCE.split(bare)) for w in _WORD.findall(part)]
-    stuffed = _stuffed_words(told) / max(1, len(told)) if not asian else 0.0
     listed = False
-    said: dict[str, str] = {}
-    for line in text.split("\n"):
-        body = line.strip()
-        if not body:
-            continue
-        if _HEADING.match(body):
+    said: list[str] = []
+    for line, body, rest, urls, tokens in lines:
+        if len(body) < 40 and _HEADING.match(body):
             listed = sentence >= 60
             continue
         if listed and _BULLET.match(body):
@@ -125,113 +157,128 @@ def features(text: str) -> tuple[str, list[float], float]:
         listed = False
         weight = float(len(body))
         total += weight
-        if asian or _LOG_LINE.search(body) or _TABLE_LINE.search(line):
+        if _LOG_LINE.search(body) or (("|" in body or "\t" in line or _RULE.match(body)) and _TABLE_LINE.search(line)):
             sentence += weight
             continue
-        urls = sum(map(len, _URL.findall(body))) if links else 0
-        rest = _TAGGED.sub(" ", _ANCHOR.sub(r"\1", body)) if "<" in body else body
-        if urls or "](" in body:
-            rest = _URL.sub(" ", _MARKDOWN.sub(lambda m: " " + m[1] + " ", rest))
         linked = bool(urls) or "href=" in body
+        if asian and _ASIAN.search(rest):
+            if _LABEL.match(rest) or len(_HASHED.findall(rest)) >= 3 or _asian_list(rest, linked):
+                spam += weight
+            else:
+                sentence += weight
+            continue
         if not linked and _CODE_SIGN.search(line) and _CODE_LINE.search(line) and not _LABEL.match(body) and not body.startswith("#"):
             sentence += weight
             continue
-        label = _LABEL.match(rest)
+        label = _LABEL.match(rest) if ":" in rest else None
         inner = rest[label.end() :] if label else rest
-        tokens = _WORD.findall(inner.lower())
+        if label:
+            tokens = _WORD.findall(inner.lower())
         if not tokens:
             spam += weight if linked else 0.0
             continue
-        items = [i for i in _ITEMS.split(inner.strip()) if i]
-        share = _function_share(tokens, None if lang is None else lang)
-        hashed = len(re.findall(r"(?:^|\s)#\w", inner))
-        mean = len(tokens) / max(1, len(items))
-        ends = bool(re.search(r"[.!?:]['\"»)]*\s*$", inner)) or bool(re.search(r"[.!?]\s", inner))
-        if hashed >= 3 and hashed * 2 >= len(inner.split()):
-            spam += weight
-        elif label:
+        hashed = len(_HASHED.findall(inner)) if "#" in inner else 0
+        if hashed >= 3 and hashed * 2 >= len(inner.split()) or label:
             spam += weight
-        elif _said(said, rest) and share >= 0.17 and len(tokens) >= 5 or ends and share >= 0.1 and len(tokens) >= 4:
+            continue
+        said.append(rest)
+        share = sum(map(known, tokens)) / len(tokens)
+        plain = share >= 0.17 and len(tokens) >= 5
+        ends = not plain and bool(_ENDING.search(inner))
+        if plain or ends and share >= 0.1 and len(tokens) >= 4:
             sentence += weight - urls
             if linked and urls > 0.6 * weight:
                 spam += urls
         elif linked:
             spam += weight
-        elif len(tokens) >= 3 and not ends and (share < 0.1 or mean <= 4.5 and len(items) > 3):
-            spam += weight
-        elif len(items) > 6 and mean <= 4 and share < 0.12:
-            spam += weight
-    # A sentence said twice, or with another name or number in it, counts once.
-    stuffed = 0.0
-    if repetition * n >= 0.25 * sum(len(part.split()) for part in said.values()):  # else no phrase can be dense
-        told = [w for part in said.values() for w in _WORD.findall(part.lower())]
-        stuffed = _stuffed_words(told) / max(1, len(told))
-    spam_share = max(spam / max(1.0, total), min(1.0, 1.6 * stuffed) if stuffed >= 0.3 else 0.0)
-    values = [sum(map(len, links)) / size, function, sentence / max(1.0, total), entropy, max(repetition, stuffed), min(2.0, separators)]
+        else:
+            items = sum(1 for i in _ITEMS.split(inner.strip()) if i)
+            mean = len(tokens) / max(1, items)
+            if len(tokens) >= 3 and not ends and (share < 0.1 or mean <= 4.5 and items > 3) or items > 6 and mean <= 4 and share < 0.12:
+                spam += weight
+    # Without many repeated pairs no phrase can be dense among different sentences.
+    stuffing = _stuffing(said) if repetition >= 0.1 else 0.0
+    values = [link_size / size, function, entropy, repetition, min(2.0, separators / n), spam / max(1.0, total), stuffing]
     # Text without a language of its own (lists of keywords have none) is held against all documents.
-    return "asian" if asian else lang or ALL, values, spam_share
+    return "asian" if asian else lang or ALL, values
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """doc_id, grp, one column per feature, spam_share of the documents with text."""
-    names = ["doc_id", "grp", *FEATURES, "spam_share"]
+    """doc_id, grp, one column per feature of the documents with text."""
+    names = ["doc_id", "grp", *FEATURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, group, *values, share) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for group, values, share in [features(text)]]
+            out = [(i, group, *values) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for group, values in [features(text)]]
             if out:
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), *[pa.array(c, pa.float64()) for c in columns[2:]]], names=names)
 
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND trim(text) <> ''")
-    return spread(rows).mapInArrow(run, "doc_id bigint, grp string, " + ", ".join(f"{f} double" for f in FEATURES) + ", spam_share double")
+    return spread(rows).mapInArrow(run, "doc_id bigint, grp string, " + ", ".join(f"{f} double" for f in FEATURES))
+
 
+Model = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-def _robust(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per group: centres, scales and the inverse of the robust correlation matrix."""
+
+def robust(rows: DataFrame) -> Model:
+    """Per group: centre, scale and the inverse of the robust correlation matrix, each mixed with that of all documents.
+
+    Three aggregations, whose results are some groups (languages and scripts, a number fixed by the code) x features.
+    """
     both = rows.where(F.col("grp") != ALL).unionByName(rows.withColumn("grp", F.lit(ALL)))
-    median = both.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 2000).alias(f) for f in FEATURES]).collect()
-    centre = {r.grp: (r.n, np.array([r[f] for f in FEATURES])) for r in median}
-    small = [g for g, (n, _) in centre.items() if n < LEAST_GROUP]
-    grouped = both.withColumn("grp", F.when(F.col("grp").isin(small), "(all)").otherwise(F.col("grp"))) if small else both
-    at = lambda f: F.element_at(F.create_map(*[x for g, (_, m) in centre.items() for x in (F.lit(g), F.lit(float(m[FEATURES.index(f)])))]), F.col("grp"))
-    mad = grouped.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(f) - at(f)), 0.5, 2000).alias(f) for f in FEATURES]).collect()
-    # A feature in which half of the documents agree has a floor for its scale.
-    scale = {r.grp: np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), 0.03) for r in mad}
-    z = {f: F.greatest(F.lit(-_CLIP), F.least(F.lit(_CLIP), (F.col(f) - at(f)) / F.element_at(F.create_map(*[x for g, s in scale.items() for x in (F.lit(g), F.lit(float(s[i])))]), F.col("grp")))) for i, f in enumerate(FEATURES)}
-    scored = grouped.select("grp", *[z[f].alias(f) for f in FEATURES])
+    per_group = lambda name: F.element_at(F.create_map(*[x for g, values in name.items() for x in (F.lit(g), F.array(*[F.lit(float(v)) for v in values]))]), F.col("grp"))
+    middle = {r.grp: (r.n, np.array([r[f] for f in FEATURES])) for r in both.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 2000).alias(f) for f in FEATURES]).collect()}
+    if ALL not in middle:
+        return {}
+    at = per_group({g: m for g, (_, m) in middle.items()})
+    spread_ = both.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(f) - at[i]), 0.5, 2000).alias(f) for i, f in enumerate(FEATURES)]).collect()
+    scale = {r.grp: np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), FLOOR) for r in spread_}
+    by = per_group(scale)
+    scored = both.select("grp", *[F.greatest(F.lit(-_CLIP), F.least(F.lit(_CLIP), (F.col(f) - at[i]) / by[i])).alias(f) for i, f in enumerate(FEATURES)])
     k = len(FEATURES)
     cross = scored.groupBy("grp").agg(*[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"c{i}_{j}") for i in range(k) for j in range(i + 1)]).collect()
-    out = {}
+    correlation = {}
     for r in cross:
         cov = np.array([[r[f"c{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)])
         deviation = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-        correlation = cov / np.outer(deviation, deviation) * 0.9 + 0.1 * np.eye(k)
-        out[r.grp] = (centre[r.grp][1], scale[r.grp], np.linalg.inv(correlation))
-    for g in (*small, ALL):
-        out.setdefault(g, out.get(ALL))
+        correlation[r.grp] = cov / np.outer(deviation, deviation)
+    out: Model = {}
+    for g, (n, centre) in middle.items():
+        own = 1.0 if g == ALL else n / (n + PRIOR)
+        mixed = lambda a, b: own * a + (1 - own) * b  # noqa: B023, E731
+        matrix = mixed(correlation[g], correlation[ALL]) * (1 - RIDGE) + RIDGE * np.eye(k)
+        out[g] = (mixed(centre, middle[ALL][1]), mixed(scale[g], scale[ALL]), np.linalg.inv(matrix))
     return out
 
 
-def spam(documents: DataFrame, least_share: float = 0.4) -> DataFrame:
-    """doc_id, distance (squared), toward (the part of the score in spam's direction), spam_share of spam documents."""
+def judge(x: np.ndarray, groups: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance of each row to its group, and the greatest distance along a direction of spam."""
+    distance, toward = np.zeros(len(x)), np.zeros(len(x))
+    for g in set(groups):
+        centre, scale, inverse = model.get(g, model[ALL])
+        mine = groups == g
+        z = (x[mine] - centre) / scale
+        distance[mine] = np.einsum("ij,jk,ik->i", z, inverse, z)
+        along = z @ inverse @ DIRECTIONS.T / np.sqrt(np.einsum("dj,jk,dk->d", DIRECTIONS, inverse, DIRECTIONS))
+        toward[mine] = along.max(axis=1)
+    return distance, toward
+
+
+def scored(documents: DataFrame) -> DataFrame:
+    """doc_id, distance (squared), toward (along the nearest direction of spam) of the documents with text."""
     rows = cut(measured(documents), "spam-features")
-    model = _robust(rows)
-    held = rows.sparkSession.sparkContext.broadcast(model)  # some groups x 48 numbers
+    held = rows.sparkSession.sparkContext.broadcast(robust(rows))  # some groups x 63 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = held.value
         for batch in batches:
             x = np.column_stack([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(FEATURES))])
-            names = np.array(batch.column(1).to_pylist(), dtype=object)
-            distance, toward = np.zeros(len(x)), np.zeros(len(x))
-            for g in set(names):
-                centre, scale, inverse = groups[g]
-                mine = names == g
-                z = (x[mine] - centre) / scale
-                distance[mine] = np.einsum("ij,jk,ik->i", z, inverse, z)
-                toward[mine] = z @ DIRECTION / np.linalg.norm(DIRECTION)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(distance), pa.array(toward), batch.column(batch.num_columns - 1)], names=["doc_id", "distance", "toward", "spam_share"])
-
-    judged = rows.mapInArrow(run, "doc_id bigint, distance double, toward double, spam_share double")
-    return judged.where((F.col("distance") > DISTANCE) & (F.col("toward") > 1.0) & (F.col("spam_share") >= least_share))
+            distance, toward = judge(x, np.array(batch.column(1).to_pylist(), dtype=object), held.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(distance), pa.array(toward)], names=["doc_id", "distance", "toward"])
+
+    return rows.mapInArrow(run, "doc_id bigint, distance double, toward double")
+
+
+def spam(documents: DataFrame) -> DataFrame:
+    """doc_id, distance, toward of the outliers that lie in a direction of spam."""
+    return scored(documents).where((F.col("distance") > DISTANCE) & (F.col("toward") >= TOWARD))
