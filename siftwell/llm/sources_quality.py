@@ -1,20 +1,23 @@
 """Generated, minified, third-party and data files among source files known by their findings.
 
 The evidence of a file is its path and the set of its snippets. From it come
-    * Merkle hashes, bottom-up: a file hashes its name and its snippets, a directory the hashes of its
-      children; a subtree that stands under several unrelated repositories is a third-party copy.
-      Repositories whose roots are equal (forks, mirrors) count as one;
+    * Merkle hashes, bottom-up over directory trees: a leaf hashes a file's name with one snippet, and each directory
+      above hashes its name with what is below. Copies of a library that were scanned at different lines still agree
+      in the leaves they have in common, so a subtree is shared where enough of its code has leaves with the same
+      hash in an unrelated repository; a single file is the least subtree. A directory's own hash is the XOR of
+      its leaves' hashes. Repositories whose roots are equal (forks, mirrors) count as one;
     * layout rules on the path (dependency and output directories, names given by generators);
-    * header rules on the first lines of the file (generator marks, licence banners of others);
+    * header rules on the leading comment of the file (generator marks, licence banners of others);
     * density rules on the snippets (minified code, tables and encoded data kept as code).
 
-Shuffles carry hashes and counters, never snippets: each snippet is reduced to them where it is read. A
-directory's hash is folded from its children by XOR, so a directory or repository of any size is combined
-map-side and is never in one task.
+Shuffles carry hashes and counters, never snippets: each snippet is reduced to them where it is read. Levels are not
+visited one by one: a leaf knows its ancestors, and only leaves that some other repository has too (found by
+one aggregation, combined map-side) are spread over theirs.
 
 Defined cases: rows without repo or path are left out; null and empty snippets leave the path as only
 evidence; rows delivered twice count once; files with the same snippets in one repository are no shared
-subtree; an empty table gives no rows.
+subtree; code under ``LEAST_SHARED`` characters in all is no evidence, short files agree by chance; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -51,11 +54,15 @@ BANNER = (
 )
 NOT_GENERATED = r"(?i)\bnot (?:auto[- ]?)?generated\b"
 HEAD_LINES = 6
+#: The comments a text begins with, however long they are.
+_LEAD = r"^(?:[ \t\r]*+(?:(?://|#|;|--)[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/[^\n]*+)?|<!--(?:[^-]|-(?!->))*+(?:-->[^\n]*+)?)?(?:\n|$))*+"
+#: So many characters of agreeing code, blanks folded, make a subtree a shared one; half of a file's code must agree.
+LEAST_SHARED = 160
 
 
 def _snippet(code: Column, first_line: Column) -> dict[str, Column]:
     """Flags of one snippet."""
-    head = F.when(F.coalesce(first_line, F.lit(1)) <= 3, F.substring_index(code, "\n", HEAD_LINES))
+    head = F.when(F.coalesce(first_line, F.lit(1)) <= 3, F.concat(F.substring_index(code, "\n", HEAD_LINES), F.lit("\n"), F.regexp_extract(code, _LEAD, 0)))
     lines = F.regexp_count(code, F.lit("\n")) + 1
     bare = F.regexp_replace(code, "\"(?:[^\"\\\\\\n]|\\\\.)*(?:\"|$)|'(?:[^'\\\\\\n]|\\\\.)*(?:'|$)", "")
     size = F.length(bare)
@@ -70,56 +77,49 @@ def _snippet(code: Column, first_line: Column) -> dict[str, Column]:
     }
 
 
-def files(findings: DataFrame) -> DataFrame:
-    """repo, path, content (hash of the set of snippets), snippets, and the shares of flags over them."""
+def leaves(findings: DataFrame) -> DataFrame:
+    """repo, path, snippet (a hash, blanks folded), size and the flags of each different snippet of a file."""
+    folded = F.regexp_replace("code_snippet", "\\s+", " ")
     kept = findings.where("repo IS NOT NULL AND file_path IS NOT NULL").select(
-        "repo", F.col("file_path").alias("path"), F.xxhash64(F.regexp_replace("code_snippet", "\\s+", " ")).alias("snippet"), F.length("code_snippet").alias("size"),
+        "repo", F.col("file_path").alias("path"), F.xxhash64(folded).alias("snippet"), F.coalesce(F.length(folded), F.lit(0)).alias("size"),
         *[F.coalesce(flag.cast("int"), F.lit(0)).alias(name) for name, flag in _snippet(F.col("code_snippet"), F.col("start_line")).items()],
     )
-    once = kept.groupBy("repo", "path", "snippet").agg(F.max("size").alias("size"), *[F.max(c).alias(c) for c in ("mark", "banner", "dense", "data")])
-    return once.groupBy("repo", "path").agg(
-        F.bit_xor("snippet").alias("content"), F.count("*").alias("snippets"), F.sum("size").alias("size"),
-        F.max("mark").alias("mark"), F.max("banner").alias("banner"), F.max("dense").alias("dense"), F.avg("data").alias("data"),
-    )
+    return kept.groupBy("repo", "path", "snippet").agg(F.max("size").alias("size"), *[F.max(c).alias(c) for c in ("mark", "banner", "dense", "data")])
+
 
+def kin(tree: DataFrame) -> DataFrame:
+    """repo, kin: repositories whose roots are equal, with the least name that stands for them; one number per repository is grouped."""
+    roots = tree.groupBy("repo").agg(F.bit_xor(F.xxhash64("path", "snippet")).alias("root"), F.count("*").alias("n"))
+    same = roots.groupBy("root", "n").agg(F.min("repo").alias("kin"), F.count("*").alias("k")).where("k > 1")
+    return roots.join(same, ["root", "n"]).select("repo", "kin")
 
-def shared_subtrees(tree: DataFrame, least_size: int = 400) -> DataFrame:
-    """repo, path of the files and directories that stand under several unrelated repositories.
 
-    ``tree``: repo, path, content, snippets, size of the files. Small subtrees (under ``least_size``
-    characters or with one snippet) are no evidence: short files agree by chance.
-    """
+def shared_files(tree: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
+    """repo, path of the files in a subtree that stands in unrelated repositories too (``tree``: rows of ``leaves``)."""
     parts = F.split("path", "/")
-    level = tree.select("repo", "path", F.size(parts).alias("depth"), F.xxhash64(F.element_at(parts, -1), F.col("content")).alias("hash"), F.lit(1).cast("bigint").alias("files"), "snippets", "size")
-    deepest = level.agg(F.max("depth")).first()[0] or 0
-    # One level at a time, each written once: a directory needs its children's hashes and nothing else.
-    every, here = level, level.where(F.col("depth") == deepest)
-    for depth in range(deepest, 0, -1):
-        name_hash = F.xxhash64(F.element_at(F.split("path", "/"), -1), F.col("hash"))
-        parent = F.lit("") if depth == 1 else F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-        above = here.groupBy("repo", parent.alias("path")).agg(
-            F.lit(depth - 1).alias("depth"), F.bit_xor(name_hash).alias("hash"), F.sum("files").alias("files"), F.sum("snippets").alias("snippets"), F.sum("size").alias("size")
-        )
-        above = cut(above, f"merkle-{depth - 1}")
-        if depth > 1:
-            every = every.unionByName(above)
-        here = above.unionByName(level.where(F.col("depth") == depth - 1))
-    roots = above if deepest else level
-    # Repositories with equal roots are one: the least name stands for them.
-    kin = roots.groupBy("hash").agg(F.min("repo").alias("kin"), F.count("*").alias("n")).where("n > 1").join(roots.select("hash", "repo"), "hash").select("repo", "kin")
-    owned = every.where((F.col("size") >= least_size) & (F.col("snippets") > 1)).join(kin, "repo", "left").withColumn("owner", F.coalesce("kin", "repo"))
-    shared = owned.groupBy("hash", "files", "snippets").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b")
-    return owned.join(shared, ["hash", "files", "snippets"], "left_semi").select("repo", "path").distinct()
+    leaf = tree.where("size > 0").select("repo", "path", "size", F.xxhash64(F.element_at(parts, -1), F.col("snippet")).alias("leaf"))
+    both = leaf.groupBy("leaf").agg(F.min("repo").alias("r0"), F.max("repo").alias("r1")).where("r0 <> r1").select("leaf")
+    some = leaf.join(both, "leaf", "left_semi").join(kin(tree), "repo", "left").withColumn("owner", F.coalesce("kin", "repo"))
+    # Bottom-up along the path: the hash below each ancestor, the file itself first.
+    names = F.reverse(F.slice(parts, 1, F.size(parts) - 1))
+    chain = F.aggregate(names, F.array("leaf"), lambda acc, name: F.array_append(acc, F.xxhash64(name, F.element_at(acc, -1))))
+    spread_ = some.select("repo", "path", "owner", "size", F.size(parts).alias("depth"), F.posexplode(chain).alias("up", "hash"))
+    node = F.xxhash64("repo", F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.col("depth") - F.col("up")), "/"))
+    spread_ = spread_.withColumn("node", node)
+    common = spread_.groupBy("hash", "up").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b").select("hash", "up")
+    agreeing = spread_.join(common, ["hash", "up"], "left_semi")
+    marked = agreeing.groupBy("node").agg(F.sum("size").alias("shared")).where(F.col("shared") >= least).select("node")
+    # Of the files under a marked node, those that agree in half of their code at least.
+    agreed = agreeing.join(marked, "node", "left_semi").groupBy("repo", "path", "up").agg(F.sum("size").alias("agreed")).groupBy("repo", "path").agg(F.max("agreed").alias("agreed"))
+    whole = tree.groupBy("repo", "path").agg(F.sum("size").alias("whole"))
+    return agreed.join(whole, ["repo", "path"]).where("agreed * 2 >= whole").select("repo", "path")
 
 
 def not_hand_written(findings: DataFrame) -> DataFrame:
     """repo, file_path, kind: files that are generated, minified, vendored or data, with the first rule that says so."""
-    tree = cut(files(findings), "source-files")
-    shared = shared_subtrees(tree)
-    # A file lies in a shared subtree if one of its ancestors (or itself) is one.
-    steps = F.split("path", "/")
-    ancestors = tree.select("repo", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))).alias("node"))
-    copies = ancestors.join(shared.withColumnRenamed("path", "node"), ["repo", "node"], "left_semi").select("repo", "path").distinct().withColumn("copy", F.lit(True))
+    tree = cut(leaves(findings), "source-leaves")
+    copies = shared_files(tree).withColumn("copy", F.lit(True))
+    files = tree.groupBy("repo", "path").agg(F.max("mark").alias("mark"), F.max("banner").alias("banner"), F.max("dense").alias("dense"), F.avg("data").alias("data"))
     path = F.col("path")
     kind = (
         F.when(F.col("copy"), "shared subtree")
@@ -130,4 +130,4 @@ def not_hand_written(findings: DataFrame) -> DataFrame:
         .when(path.rlike(OUTPUT) | (F.col("dense") == 1), "minified")
         .when(F.col("data") >= 0.5, "data")
     )
-    return tree.join(copies, ["repo", "path"], "left").select("repo", path.alias("file_path"), kind.alias("kind")).where("kind IS NOT NULL")
+    return files.join(copies, ["repo", "path"], "left").select("repo", path.alias("file_path"), kind.alias("kind")).where("kind IS NOT NULL")
