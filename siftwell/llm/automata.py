@@ -112,3 +112,68 @@ class KeywordAutomaton:
     def all(self, text: str) -> list[tuple[int, str]]:
         """(position after the match, keyword) of every match."""
         return [(end + 1, word) for end, word in self._auto.iter(text)]
+
+
+class PhraseAutomaton:
+    """Phrases over words, all in one deterministic automaton that is built as far as texts need it.
+
+    A phrase is words and blanks: ``a|b`` either word, ``~3`` at most three words of any kind. Texts are sequences of
+    words; a state is the set of places in phrases that may go on, and each move is computed once.
+    """
+
+    def __init__(self, phrases: Iterable[str]) -> None:
+        # places: per place (words it takes or None for any, place after it); gaps are chains of places that may be left out.
+        self._takes: list[frozenset[str] | None] = []
+        self._next: list[tuple[int, ...]] = []
+        starts: list[int] = []
+        self._known: set[str] = set()
+        for phrase in phrases:
+            after: tuple[int, ...] = (-1,)
+            for token in reversed(phrase.split()):
+                if token.startswith("~"):
+                    for _ in range(int(token[1:])):
+                        after = (*after, self._place(None, after))
+                else:
+                    words = frozenset(token.split("|"))
+                    self._known |= words
+                    after = (self._place(words, after),)
+            starts.extend(after)
+        self._starts = frozenset(starts)
+        self._states: dict[frozenset[int], int] = {self._starts: 0}
+        self._sets: list[frozenset[int]] = [self._starts]
+        self._moves: list[dict[str, int]] = [{}]
+
+    def _place(self, takes: frozenset[str] | None, after: tuple[int, ...]) -> int:
+        self._takes.append(takes)
+        self._next.append(after)
+        return len(self._takes) - 1
+
+    def _move(self, state: int, word: str) -> int:
+        """State after ``word``, -1 where a phrase ends."""
+        reached = set(self._starts)
+        for place in self._sets[state]:
+            takes = self._takes[place]
+            if takes is None or word in takes:
+                if -1 in self._next[place]:
+                    return -1
+                reached.update(self._next[place])
+        key = frozenset(reached)
+        number = self._states.get(key)
+        if number is None:
+            number = self._states[key] = len(self._sets)
+            self._sets.append(key)
+            self._moves.append({})
+        return number
+
+    def accepts(self, words: Iterable[str]) -> bool:
+        """Does some phrase stand in the sequence?"""
+        known, moves, state = self._known, self._moves, 0
+        for word in words:
+            word = word if word in known else ""
+            target = moves[state].get(word)
+            if target is None:
+                target = moves[state][word] = self._move(state, word)
+            if target < 0:
+                return True
+            state = target
+        return False

@@ -3,8 +3,8 @@
     empty      nothing but blanks, marks, markup or an empty value
     copy       a suffix automaton of the prompt covers the reply: case, punctuation and layout are folded
                away, then the share of the reply inside long common factors is measured
-    refusal    refusal automata (phrases of several languages) accept one of the first sentences, quoted
-               speech put aside, and little else is said
+    refusal    a refusal automaton (phrases over words, of several languages) accepts sentences, wherever they
+               stand and quoted speech put aside, that make up a share of what is said
     truncated  a stack of delimiters (brackets, strings, fences) is not empty at the end, or prose stops
                without the end of a sentence, list item or label
     language   votes of stopwords and scripts for the prose of the reply and of the prompt disagree
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.automata import SuffixAutomaton
-from siftwell.storage import busy_partitions, spread
+from siftwell.llm.automata import PhraseAutomaton, SuffixAutomaton
+from siftwell.storage import spread
 
 #: A common factor counts from so many folded characters on; so much of the reply makes a copy.
 COPY_FACTOR, COPY_SHARE = 10, 0.85
@@ -53,19 +53,30 @@ for _lang, _words in STOPWORDS.items():
 _SPELLING = (("es", re.compile("ción$|ciones$|sión$|ñ|ería$|aría$")), ("pt", re.compile("ção$|ções$|ão$|õ")), ("de", re.compile("[ßäöü]")), ("fr", re.compile("[èùûœî]|é[es]?$")))
 _WEIGHT = {1: 1.0, 2: 0.25, 3: 0.1}
 
-# Phrases by which a reply declines, per language.
-_REFUSAL = re.compile(
-    r"\b(?:can(?:no|')?t|can not|won't|will not|(?:am |'m )?(?:unable|not able|not allowed|not permitted)(?: to)?|must decline to|have to decline to|decline to|refuse to|(?:'d|would) rather not|prefer not to)\s+(?:\w+\s+){0,2}?"
-    r"(?:help|assist|answer|comment|discuss|talk|go into|fulfil|fulfill|comply|continue|provide|respond|share|engage|do (?:this|that)|be of)\b"
-    r"|\bi (?:must|have to) (?:decline|refuse|leave)\b|\brequest (?:is |was )?(?:denied|refused|rejected)\b|\bagainst (?:my|our) (?:policy|policies|guidelines|rules)\b|\bmy guidelines\b|\bbreak the rules i\b"
-    r"|\boutside (?:of )?what i\b|\bas an? (?:\w+ )?(?:language model|ai|assistant),? i (?:have no|won't|can't|cannot|do not|don't|must)\b|\bno opinion on\b|\blet us talk about (?:\w+ ){0,4}(?:instead|else)\b|\bi(?:'d| would) rather not\b|\bi(?:'d| would) prefer (?:to stop|not)\b"
-    r"|\bno (?:assessment|answer|comment|opinion|analysis|verdict|statement) (?:will|can) be (?:given|provided|made)\b|\bnicht (?:bewerten|beurteilen) (?:darf|werde|möchte)\b|\baucune (?:réponse|évaluation)\b.{0,30}\bdonnée\b|\bno (?:daré|se dará|ofrezco)\b"
-    r"|\btouches on harmful\b|\bsubject i have to leave\b|\bfalls outside\b.{0,40}\bpermitted\b|\bnot something i (?:can|may|will)\b"
-    r"|\b(?:anfrage|frage|bitte|dies|das)\b.{0,30}\b(?:ablehnen|verweigern)\b|\bmuss ich (?:passen|ablehnen)\b|\b(?:nicht helfen|nicht weiterhelfen|keine auskunft|nicht beantworten)\b|\brichtlinien (?:lassen|erlauben|verbieten)\b|\b(?:möchte|werde|darf|kann) ich (?:mich )?(?:leider )?nicht (?:sprechen|äußern|reden|antworten|eingehen)\b"
-    r"|\b(?:dois|me faut) (?:refuser|décliner)\b|\bimpossible de (?:répondre|vous aider|traiter)\b|\bne (?:peux|puis) (?:pas |malheureusement pas )?(?:vous )?(?:aider|répondre|en parler|traiter|continuer)\b|\bpréfère ne pas\b|\b(?:m'interdi\w+|m'est (?:fermé|interdit))|\bpas autorisé à (?:répondre|discuter|commenter)\b"
-    r"|\bno puedo (?:ayudar|responder|comentar|hablar|continuar|ayudarle)\b|\b(?:debo|tengo que) (?:rechazar|declinar|negarme)\b|\bfuera de lo que puedo\b|\bno me está permitido\b|\bprefiero no\b|\bme impiden\b|\bno (?:voy a|quiero) (?:responder|hablar)\b",
-    re.I,
-)
+_HELP = "help|assist|answer|comment|discuss|talk|speak|go|fulfil|fulfill|comply|continue|provide|respond|share|engage|say|judge|assess|evaluate|review|analyse|analyze|do"
+_HELFEN = "helfen|weiterhelfen|beantworten|bewerten|beurteilen|einschätzen|sprechen|äußern|reden|antworten|eingehen|fortfahren|kommentieren"
+_AIDER = "aider|répondre|parler|traiter|continuer|commenter|évaluer|juger|discuter|analyser"
+_AYUDAR = "ayudar|ayudarle|ayudarte|responder|comentar|hablar|continuar|evaluar|juzgar|tratar|opinar|analizar"
+#: Phrases by which a reply declines, per language, for ``PhraseAutomaton``. The one who declines is the writer: what
+#: code refuses, rejects or cannot do is no refusal.
+REFUSALS = (
+    f"i|we ~2 can't|cannot|won't|couldn't|wouldn't ~3 {_HELP}", f"i|we ~2 can|will|could|would|may|am|are|do not ~3 {_HELP}", f"i'm|we're not|unable ~3 {_HELP}", f"i'll|we'll not ~2 {_HELP}", f"i|we ~2 unable ~2 {_HELP}",
+    "i|we ~2 must|have|need ~1 decline|refuse|pass|leave|stop", "i|we decline|refuse to", "i|we|i'd|we'd ~1 rather|prefer not", "i|we|i'd|we'd ~1 rather|prefer ~1 stop|leave", "i|we have no opinion|comment|answer",
+    "against my|our policy|policies|guidelines|rules|principles", "my|our guidelines|policy|policies|rules|instructions ~3 allow|permit|let|prevent|forbid|prohibit|stop|keep",
+    "break|breaks|breaking|violate|violates|violating ~1 rules|guidelines|policy|policies ~1 i|we", "break|breaks|breaking|violate|violates|violating my|our rules|guidelines|policy|policies",
+    "outside|beyond ~1 what i|we ~1 can|may|am|are|will", "not something i|we ~1 can|may|will|am|are", "request ~1 denied|refused|rejected|declined ~1 safety|policy|security reasons",
+    "no assessment|answer|comment|opinion|analysis|verdict|statement|judgement|judgment ~1 will|can|may be given|provided|made|offered", "let us|me talk|speak about ~5 instead", "talk|speak about something else",
+    f"kann|darf|werde|möchte|will ich|wir ~4 nicht ~2 {_HELFEN}", f"ich|wir kann|darf|werde|möchte|können|dürfen|werden ~4 nicht ~2 {_HELFEN}", f"nicht {_HELFEN} kann|darf|werde|möchte",
+    "keine auskunft|antwort|bewertung|einschätzung|stellungnahme ~2 geben|abgeben|erteilen|möglich", "muss|möchte ich|wir ~3 ablehnen|verweigern|passen", "ablehnen|verweigern muss|möchte", "meine|unsere richtlinien|regeln|vorgaben ~1 lassen|erlauben|verbieten|untersagen|gestatten",
+    f"je|nous ne ~1 peux|puis|pouvons|souhaite|veux ~3 {_AIDER}", "dois|devons|faut refuser|décliner", f"m'est impossible de|d' ~2 {_AIDER}", f"impossible de ~1 {_AIDER}", "préfère|préférons ne pas", "m'interdit|m'interdisent", "m'est ~1 interdit|fermé|défendu", "pas autorisé|autorisée à",
+    "aucune réponse|évaluation|analyse|appréciation ~2 donnée|fournie|rendue",
+    f"no puedo|podemos|debo|quiero|voy ~2 {_AYUDAR}", "debo|debemos|tengo ~1 rechazar|declinar|negarme", "fuera de lo que puedo|podemos", "no me está permitido", "prefiero|preferimos no", "mis|nuestras normas|reglas|políticas|directrices ~1 impiden|prohíben|permiten", "me impiden",
+    "no daré|ofrezco", "no se dará",
+)
+_REFUSAL = PhraseAutomaton(REFUSALS)
+_SAID = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: A reply declines if sentences that do so hold this share of its words: what else it says is then courtesy.
+REFUSAL_SHARE = 0.2
 _QUOTED = re.compile(r"\"[^\"\n]{3,}\"|“[^”\n]{3,}”|«[^»\n]{3,}»|„[^“\n]{3,}“")
 _FENCE = re.compile(r"^\s*```[\w+-]*[ \t]*\n?|\n?[ \t]*```\s*$")
 _ASKED = re.compile(r"(?i)^\W*(?:question|prompt|q|task|frage|aufgabe|tâche|pregunta|tarea)\s*:")
@@ -197,14 +208,16 @@ def _fold(text: str) -> str:
 
 
 def covered(reply: str, prompt: str) -> float:
-    """Share of the folded reply that lies in factors of the prompt of at least COPY_FACTOR characters."""
+    """Share of the folded reply that lies in factors of the prompt of at least COPY_FACTOR characters (the whole prompt, if it is shorter)."""
     if not reply or not prompt:
         return 0.0
-    need = min(COPY_FACTOR, len(reply))
-    # Blocks that stand in no prompt position rule most replies out before an automaton is built.
-    blocks = [reply[i : i + need] for i in range(0, len(reply) - need + 1, need)]
-    if sum(b in prompt for b in blocks) < 0.3 * len(blocks):
-        return 0.0
+    need = min(COPY_FACTOR, len(prompt))
+    if need == COPY_FACTOR and len(reply) >= COPY_FACTOR:
+        # Every factor of ten characters holds a whole block of five. Of overlapping factors every second one is kept, so
+        # blocks count once; each still holds a block per thirteen characters. Fewer blocks than that rule a copy out for sure.
+        known = {prompt[i : i + 5] for i in range(len(prompt) - 4)}
+        if 26 * sum(reply[i : i + 5] in known for i in range(0, len(reply) - 4, 5)) < COPY_SHARE * len(reply):
+            return 0.0
     mark = bytearray(len(reply))
     for end, length in enumerate(SuffixAutomaton.of(prompt).matches(reply)):
         if length >= need:
@@ -213,9 +226,14 @@ def covered(reply: str, prompt: str) -> float:
 
 
 def refuses(prose: str) -> bool:
-    sentences = [s for s in _SENTENCE.split(_QUOTED.sub(" ", prose)) if s and _WORD.search(s)]
-    hits = [bool(_REFUSAL.search(s)) for s in sentences]
-    return any(hits[:2]) and len(sentences) - sum(hits) <= 3
+    """Do sentences that decline, wherever they stand, make up their share of what is said? Quoted speech is put aside."""
+    declining = said = 0
+    for sentence in _SENTENCE.split(_QUOTED.sub(" ", prose)):
+        words = _SAID.findall(sentence.lower().replace("’", "'"))
+        said += len(words)
+        if words and _REFUSAL.accepts(words):
+            declining += len(words)
+    return declining > 0 and declining >= REFUSAL_SHARE * said
 
 
 def _plain(text: str) -> str:
@@ -230,7 +248,7 @@ def defect(prompt: str | None, reply: str | None) -> str | None:
     if r.empty:
         return "empty"
     said = _fold(_ASKED.sub("", r.prose if r.json and r.prose else r.text))
-    if prompt and len(said) >= 8 and covered(said, _fold(prompt)) >= COPY_SHARE:
+    if prompt and covered(said, _fold(prompt)) >= COPY_SHARE:
         return "copy"
     if refuses(r.prose) or isinstance(r.value, dict) and isinstance(r.value.get("reasoning"), str) and refuses(r.value["reasoning"]):
         return "refusal"
@@ -247,10 +265,11 @@ def defect(prompt: str | None, reply: str | None) -> str | None:
 def pairs(responses: DataFrame, results: DataFrame) -> DataFrame:
     """pair_kind, pair_id, prompt, reply of all pairs; duplicates of a key may still be there."""
     calls = F.coalesce(F.size(F.filter("tool_calls", lambda c: c.isNotNull())), F.lit(0))
-    n = busy_partitions(responses.sparkSession)
     one = spread(responses.where(calls <= 0)).select(F.lit("response").alias("pair_kind"), F.col("response_id").cast("bigint").alias("pair_id"), "prompt", F.col("content").alias("reply"))
-    asked = responses.select("response_id", "prompt").repartition(n, "response_id")
-    two = results.select(F.col("result_id").cast("bigint").alias("pair_id"), "response_id", F.col("reasoning").alias("reply")).repartition(n, "response_id").join(asked, "response_id", "left")
+    asked = responses.select("response_id", "prompt")
+    told = results.select(F.col("result_id").cast("bigint").alias("pair_id"), "response_id", F.col("reasoning").alias("reply"))
+    # Results without a response meet no prompt and take no part in the join, where they would all share one key.
+    two = told.where("response_id IS NOT NULL").join(asked, "response_id", "left").unionByName(told.where("response_id IS NULL").withColumn("prompt", F.lit(None).cast("string")), allowMissingColumns=True)
     return one.unionByName(two.select(F.lit("result").alias("pair_kind"), "pair_id", "prompt", "reply"))
 
 
