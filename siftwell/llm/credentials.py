@@ -6,8 +6,9 @@
 3. Structure is validated: a web token's header must be JSON with an algorithm, a Basic value must decode
    to user:password, a GitHub token's length and alphabet must fit, and so on. Fill-in and masked values,
    references to values held elsewhere, public keys, certificates, checksums and ids are no credentials.
-4. Every letter of the secret becomes ``x`` or ``X``, every digit ``0``; other characters stay, hence
-   length, alphabet, quoting and line structure stay too and masked text is found clean again.
+4. Every letter of the secret becomes ``x`` or ``X`` (``a`` or ``A`` in hexadecimal), every digit ``0`` (``2`` in base
+   32); other characters stay, hence length, alphabet, quoting and line structure stay too and masked text is
+   found clean again.
 
 Defined cases: null text gives no rows and comes back null; empty text comes back empty; a value split
 over several literals is one credential that begins in its first part; rows delivered twice count once;
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -51,6 +53,7 @@ _ISSUER = re.compile(
     r")(?![A-Za-z0-9_\-])"
 )
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>.*?)(?:-----END|\.\.\.|[\"'`<]|\Z)", re.S)
+_PUBLIC = re.compile(r"-----BEGIN (?:CERTIFICATE|[A-Z ]*PUBLIC KEY)[^-]*-----.*?(?:-----END[^-]*-----|\Z)", re.S)
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://(?P<user>[^\s:/@\"'`<>]*):(?P<value>[^\s@/\"'`<>]+)@[A-Za-z0-9\[]")
 _HEADER = re.compile(r"(?i)\b(?P<scheme>basic|bearer)\s+(?P<value>[A-Za-z0-9+/=_\-.~]{8,})")
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
@@ -117,7 +120,7 @@ def secret_name(name: str) -> bool:
 
 def _fill_in(value: str) -> bool:
     bare = value.strip()
-    return not bare or bool(_PLACEHOLDER.match(bare)) or len(set(bare.lower())) <= 2 or bool(re.fullmatch(r"[x0\W_]+", bare.lower()))
+    return not bare or bool(_PLACEHOLDER.match(bare)) or len(set(bare.lower())) <= 2 or bool(re.fullmatch(r"[x0\W_]+|[x2]+=*", bare.lower()))
 
 
 def secret_value(value: str, quoted: bool = True) -> bool:
@@ -166,6 +169,23 @@ def _pieces(value: str, start: int) -> list[tuple[int, int]]:
     return [(start + m.start() + 1, start + m.end() - 1) for m in re.finditer(_STRING, value) if m.end() - m.start() > 2]
 
 
+class _Intervals:
+    """Disjoint intervals in order."""
+
+    def __init__(self) -> None:
+        self._starts: list[int] = []
+        self._ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Take an interval, unless it meets one that is taken."""
+        at = bisect_left(self._starts, end)
+        if at and self._ends[at - 1] > start:
+            return False
+        self._starts.insert(at, start)
+        self._ends.insert(at, end)
+        return True
+
+
 class Finder:
     """``find(text)``: the credentials of a text, by place, overlaps resolved in favour of the earlier rule."""
 
@@ -176,19 +196,18 @@ class Finder:
         if not text or not self._keywords.any(text.lower()):
             return []
         spans: list[Span] = []
-        taken: list[tuple[int, int]] = []
+        taken = _Intervals()
 
         def add(start: int, end: int, pieces: list[tuple[int, int]], kind: str) -> None:
-            if pieces and not any(start < b and a < end for a, b in taken):
+            if pieces and taken.add(start, end):
                 spans.append(Span(start, end, tuple(pieces), kind))
-                taken.append((start, end))
 
         for m in _PEM.finditer(text):
             body = re.sub(r"\\[nr]|\s", "", m["body"])
             if len(body) >= 16 and not _fill_in(body) and re.match(r"[A-Za-z0-9+/=:,\-]+$", body):
                 add(m.start(), m.end(), [(m.start("body"), m.end("body"))], "private_key")
-        public = [(m.start(), m.end()) for m in re.finditer(r"-----BEGIN (?:CERTIFICATE|[A-Z ]*PUBLIC KEY)[^-]*-----.*?(?:-----END[^-]*-----|\Z)", text, re.S)]
-        taken += public
+        for m in _PUBLIC.finditer(text):
+            taken.add(*m.span())
         if "://" in text:
             for m in _URL.finditer(text):
                 if secret_value(m["value"]) or (not _fill_in(m["value"]) and re.fullmatch(r"[\w.%!#\-]{6,}", m["value"]) and not m["value"].startswith("{")):
@@ -238,17 +257,29 @@ class Finder:
 
 
 def mask(text: str, spans: list[Span]) -> str:
+    """The text with the pieces of the spans masked: the same length, and no sign outside the alphabet of the value."""
     out, at = [], 0
-    for a, b in sorted(p for s in spans for p in s.pieces):
+    for a, b, fill in sorted((a, b, fill) for s in spans for fill in [_alphabet("".join(text[x:y] for x, y in s.pieces))] for a, b in s.pieces):
         out.append(text[at:a])
-        out.append(_mask_part(text[a:b]))
+        out.append(_ESCAPE_OR_SIGN.sub(lambda m: m[0] if m[0][0] == "\\" else fill[0] if m[0].isdigit() else fill[1] if m[0].isupper() else fill[2], text[a:b]))
         at = b
     return "".join(out) + text[at:]
 
 
-def _mask_part(part: str) -> str:
-    """Escapes such as \\n keep their letter."""
-    return re.sub(r"\\.|[^\W\d_]|\d", lambda m: m[0] if m[0][0] == "\\" else "0" if m[0].isdigit() else "X" if m[0].isupper() else "x", part)
+#: Escapes such as \\n keep their letter.
+_ESCAPE_OR_SIGN = re.compile(r"\\.|[^\W\d_]|\d")
+
+
+_BASE32 = re.compile(r"(?:[A-Z2-7]{16,}|[a-z2-7]{16,})=*$")
+
+
+def _alphabet(value: str) -> str:
+    """What stands for a digit, a capital and a small letter of a value: 0Aa in hexadecimal, 2 for digits in base 32, else 0Xx."""
+    signs = {m for m in _ESCAPE_OR_SIGN.findall(value) if m[0] != "\\"}
+    letters, digits = {c for c in signs if not c.isdigit()}, {c for c in signs if c.isdigit()}
+    if letters <= set("abcdefABCDEF"):
+        return "0Aa"
+    return ("2" if digits and _BASE32.match(value) else "0") + "Xx"
 
 
 _finder: list[Finder] = []
@@ -267,6 +298,15 @@ def texts(findings: DataFrame, tool_results: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
+def _lines(text: str, spans: list[Span]) -> Iterator[tuple[Span, int]]:
+    """Spans in order with the numbers of the lines they begin on, counted in one pass."""
+    line, at = 1, 0
+    for span in spans:
+        line += text.count("\n", at, span.start)
+        at = span.start
+        yield span, line
+
+
 def locate(rows: DataFrame) -> DataFrame:
     """origin, row_id, line_no, kind: one row per credential of the rows of ``texts``."""
 
@@ -274,7 +314,7 @@ def locate(rows: DataFrame) -> DataFrame:
         find = _shared_finder().find
         for batch in batches:
             origin, ids, content = (batch.column(i).to_pylist() for i in range(3))
-            out = [(o, i, text.count("\n", 0, s.start) + 1, s.start, s.kind) for o, i, text in zip(origin, ids, content) if text for s in find(text)]
+            out = [(o, i, line, s.start, s.kind) for o, i, text in zip(origin, ids, content) if text for s, line in _lines(text, find(text))]
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))],

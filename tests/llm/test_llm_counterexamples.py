@@ -121,3 +121,28 @@ def test_distances_of_equal_documents_are_finite():
     model = {spam.ALL: (np.zeros(7), spam.FLOOR, np.eye(7))}
     distance, toward = spam.judge(np.zeros((3, 7)), np.array(["en", "de", spam.ALL], dtype=object), model)
     assert not distance.any() and not toward.any()
+
+
+def test_masks_stay_in_the_alphabet():
+    from siftwell.llm.credentials import Finder, mask
+
+    text = 'api_key = "deadbeefcafe0123"\nsecret = "JBSWY3DPEHPK3PXP"\ntoken = "aB3-xY9_qL7zT0"'
+    spans = Finder().find(text)
+    assert mask(text, spans) == 'api_key = "aaaaaaaaaaaa0000"\nsecret = "XXXXX2XXXXXX2XXX"\ntoken = "xX0-xX0_xX0xX0"'
+    assert Finder().find(mask(text, spans)) == []
+
+
+def test_many_credentials_in_one_text_take_linear_time():
+    import time
+
+    from siftwell.llm.credentials import Finder, _lines
+
+    def seconds(n):
+        text = "\n".join(f"DB{i}_PASSWORD=s3cr3tValue{i}Zz" for i in range(n))
+        began = time.perf_counter()
+        found = list(_lines(text, Finder().find(text)))
+        assert [line for _, line in found] == list(range(1, n + 1))
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(8000) < 8 * 4 * seconds(1000)
