@@ -1,5 +1,5 @@
 """Grammars of the dialects, run by ``gll``. Statement forms follow the language references; operator
-precedence is left out, for it decides on trees and not on membership. A text is a file, or members of a
+precedence is left out where it decides on trees and not on membership. A text is a file, or members of a
 class body; both start rules run together in one graph-structured stack."""
 
 from __future__ import annotations
@@ -9,6 +9,19 @@ from functools import cache
 
 from siftwell.llm.gll import Grammar
 
+#: Parts of rules, written out in each so that one automaton decides without a call: places that can be assigned to
+#: (a name, a member, an element), calls, and what is neither.
+_JAVA_PARTS = {
+    "prefixed": "( '+' | '-' | '++' | '--' | '!' | '~' ) unary | '(' type ( '&' type )* ')' ( unary | lambda )",
+    "any": "( @name@ | @other@ | @call@ ) ( @place@ | @sent@ | @rest@ )*",
+    "name": "( NAME | '(' expr ')' )",
+    "call": "( NAME args | ( 'this' | 'super' ) args | 'new' creator )",
+    "other": "( LIT | 'true' | 'false' | 'null' | 'this' | 'super' | primitive dims? '.' 'class' | 'void' '.' 'class' | primitive dims '::' 'new' )",
+    "place": "( '.' NAME | '[' expr ']' )",
+    "sent": "( '.' type_args? ( NAME | 'yield' ) args | '.' 'super' args | '.' 'new' creator )",
+    "rest": "( '.' ( 'this' | 'class' | 'super' ) | '::' type_args? ( NAME | 'new' ) | dims ( '.' 'class' | '::' type_args? ( NAME | 'new' ) ) | type_args ( '.' NAME type_args? )* dims? '::' type_args? ( NAME | 'new' ) )",
+}
+
 JAVA = r"""
 unit = package? import* ( type_decl | ';' )* | member+ ;
 package = annotation* 'package' qname ';' ;
@@ -57,32 +70,40 @@ switch = 'switch' '(' expr ')' '{' ( label ':' block_statement* )* '}' | 'switch
 label = 'case' ( case_item ( ',' case_item )* ) ( 'when' expr )? | 'default' ;
 case_item = expr | pattern | 'default' ;
 pattern = ( 'final' | annotation )* type NAME? | type '(' ( pattern ( ',' pattern )* )? ')' NAME? ;
-effect = ( '++' | '--' ) unary | primary suffix* ( '++' | '--' | assign expr ) | called | 'new' creator ;
-called = primary suffix* '.' type_args? ( NAME | 'yield' ) args | NAME args | ( 'this' | 'super' ) args | primary suffix* '.' 'super' args | primary suffix* '.' 'new' creator ;
+effect = ( '++' | '--' ) unary | ( @name@ | @any@ @place@ ) ( '++' | '--' | assign expr ) | @call@ | @any@ @sent@ ;
 assign = '=' | '+=' | '-=' | '*=' | '/=' | '&=' | '|=' | '^=' | '%=' | '<<=' | '>a' '>=' | '>a' '>a' '>=' ;
-expr = lambda | unary ( binary unary | 'instanceof' pattern )* ( '?' expr ':' expr )? ( assign expr )? | unary binary lambda ;
+expr = lambda | ( @name@ | @any@ @place@ ) assign expr | ( @prefixed@ | @any@ ( '++' | '--' )* | switch ) ( binary lambda | ( binary unary | 'instanceof' pattern )* ( '?' expr ':' expr )? ) ;
 lambda = ( NAME | '(' ( lambda_param ( ',' lambda_param )* )? ')' ) '->' ( expr | block ) ;
 lambda_param = NAME | param ;
 binary = '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<<' | '>a' '>' | '>a' '>a' '>' | '+' | '-' | '*' | '/' | '%' ;
-unary = ( '+' | '-' | '++' | '--' | '!' | '~' ) unary | '(' type ( '&' type )* ')' ( unary | lambda ) | primary suffix* ( '++' | '--' )* | switch ;
-primary = LIT | 'true' | 'false' | 'null' | NAME | 'this' | 'super' | '(' expr ')' | NAME args | ( 'this' | 'super' ) args | 'new' creator | array_type '::' 'new' | type '::' type_args? ( NAME | 'new' ) | ( primitive dims? | class_type dims | 'void' ) '.' 'class' ;
-array_type = ( primitive | class_type ) dims ;
-suffix = '.' type_args? ( NAME | 'yield' ) args? | '.' ( 'this' | 'class' | 'super' ) | '.' 'new' creator | '[' expr ']' | '::' type_args? ( NAME | 'new' ) ;
+unary = @prefixed@ | @any@ ( '++' | '--' )* | switch ;
 creator = annotation* type_args? ( primitive | class_type ) ( args class_body? | ( annotation* '[' expr ']' )+ dims? | dims array_init ) ;
 args = '(' ( expr ( ',' expr )* )? ')' ;
 """
 
+#: Parameters without a default stand before those with one; after a keyword argument none stands by its place.
+_PYTHON_PARTS = {
+    "plain": "name ( ':' test )?",
+    "given": "name ( ':' test )? '=' test",
+    "star": "( ( '*' name ( ':' '*'? test )? ( ',' name ( ':' test )? ( '=' test )? )* | '*' ( ',' name ( ':' test )? ( '=' test )? )+ ) ( ',' '**' name ( ':' test )? )? | '**' name ( ':' test )? )",
+    "given_name": "name '=' test",
+    "star_name": "( ( '*' name ( ',' name ( '=' test )? )* | '*' ( ',' name ( '=' test )? )+ ) ( ',' '**' name )? | '**' name )",
+    "position": "( '*' test | named comprehension? )",
+    "keyword": "name '=' test",
+}
+
 PYTHON = r"""
 file = statement* ;
 statement = simple | compound ;
 simple = small ( ';' small )* ';'? NEWLINE ;
-small = assignment | 'pass' | 'break' | 'continue' | 'return' items? | 'raise' ( test ( 'from' test )? )? | 'global' names | 'nonlocal' names | 'del' targets | 'assert' test ( ',' test )? | import | 'type' name type_params? '=' test ;
+small = items | tgt ( ':' test ( '=' rest )? | augment rest | ( ',' tgt )* ','? ( '=' tlist )* '=' rest ) | 'pass' | 'break' | 'continue' | 'return' items? | 'raise' ( test ( 'from' test )? )? | 'global' names | 'nonlocal' names | 'del' targets | 'assert' test ( ',' test )? | import | 'type' name type_params? '=' test ;
+tlist = tgt ( ',' tgt )* ','? ;
+tgt = '*'? ( name | '(' tlist? ')' | '[' tlist? ']' | 'await'? atom ( '.' name | '(' arguments? ')' | '[' subscripts ']' )* ( '.' name | '[' subscripts ']' ) ) ;
 names = name ( ',' name )* ;
 name = NAME | 'match' | 'case' | 'type' ;
-assignment = items ( ':' test ( '=' rest )? | augment rest | ( '=' rest )* ) ;
 rest = 'yield' ( 'from' test | items )? | items ;
 augment = '+=' | '-=' | '*=' | '@=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '**=' | '//=' ;
-targets = atom_chain ( ',' atom_chain )* ','? ;
+targets = tgt ( ',' tgt )* ','? ;
 import = 'import' dotted ( 'as' name )? ( ',' dotted ( 'as' name )? )* | 'from' ( '.' | '...' )* dotted 'import' imported | 'from' ( '.' | '...' )+ 'import' imported ;
 imported = '*' | '(' import_as ( ',' import_as )* ','? ')' | import_as ( ',' import_as )* ;
 import_as = name ( 'as' name )? ;
@@ -98,8 +119,7 @@ function = 'async'? 'def' name type_params? '(' params? ')' ( '->' items )? ':'
 class = 'class' name type_params? ( '(' arguments? ')' )? ':' suite ;
 type_params = '[' type_param ( ',' type_param )* ','? ']' ;
 type_param = ( '*' | '**' )? name ( ':' test )? ( '=' test )? ;
-params = param ( ',' param )* ','? ;
-param = name ( ':' test )? ( '=' test )? | '/' | '*' | '*' name ( ':' '*'? test )? | '**' name ( ':' test )? ;
+params = ( @plain@ ( ',' @plain@ )* ( ',' '/' ( ',' @plain@ )* )? ( ',' @given@ ( ',' @given@ )* ( ',' '/' ( ',' @given@ )* )? )? ( ',' @star@ )? | @given@ ( ',' @given@ )* ( ',' '/' ( ',' @given@ )* )? ( ',' @star@ )? | @star@ ) ','? ;
 suite = simple | NEWLINE INDENT statement+ DEDENT ;
 match_case = 'case' case_patterns ( 'if' named )? ':' suite ;
 case_patterns = case_pattern ( ',' case_pattern )* ','? ;
@@ -112,8 +132,7 @@ items = item ( ',' item )* ','? ;
 item = '*' test | named ;
 named = name ':=' test | test ;
 test = disjunction ( 'if' disjunction 'else' test )? | 'lambda' lambda_params? ':' test ;
-lambda_params = lambda_param ( ',' lambda_param )* ','? ;
-lambda_param = name ( '=' test )? | '/' | '*' name? | '**' name ;
+lambda_params = ( name ( ',' name )* ( ',' '/' ( ',' name )* )? ( ',' @given_name@ ( ',' @given_name@ )* ( ',' '/' ( ',' @given_name@ )* )? )? ( ',' @star_name@ )? | @given_name@ ( ',' @given_name@ )* ( ',' '/' ( ',' @given_name@ )* )? ( ',' @star_name@ )? | @star_name@ ) ','? ;
 disjunction = negation ( ( 'or' | 'and' ) negation )* ;
 negation = 'not'* comparison ;
 comparison = operand ( ( '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' | 'is' 'not' ) operand )* ;
@@ -124,13 +143,21 @@ entries = entry ( ',' entry )* ','? ;
 entry = test ':' test | '**' operand ;
 comprehension = ( 'async'? 'for' items_target 'in' disjunction ( 'if' condition )* )+ ;
 condition = name ':=' disjunction | disjunction ( 'if' disjunction 'else' test )? | 'lambda' lambda_params? ':' test ;
-arguments = argument ( ',' argument )* ','? ;
-argument = '*' test | '**' test | name '=' test | named comprehension? ;
+arguments = ( @position@ ( ',' @position@ )* ( ',' @keyword@ ( ',' ( @keyword@ | '*' test ) )* )? ( ',' '**' test ( ',' ( '**' test | @keyword@ ) )* )? | @keyword@ ( ',' ( @keyword@ | '*' test ) )* ( ',' '**' test ( ',' ( '**' test | @keyword@ ) )* )? | '**' test ( ',' ( '**' test | @keyword@ ) )* ) ','? ;
 subscripts = subscript ( ',' subscript )* ','? ;
 subscript = '*' test | named | test? ':' test? ( ':' test? )? ;
 """
 
-#: Shared by both script dialects; @name@ marks where types may stand.
+#: Parts of rules written out in each: what can be assigned to, what follows it, and an operand without a sign before it.
+_SCRIPT_PARTS = {
+    "plain": "@cast@ ( @target@ | @value@ ) ( @access@ | @sent@ )* ( '++' | '--' )? @as_types@",
+    "target": "( id | '(' expr ')' | array | object )",
+    "value": "( LIT | template | 'this' | 'super' | 'null' | 'true' | 'false' | function | class | 'new' 'new'* ( id | 'this' | 'super' | '(' expr ')' | class | function | array | object | 'import' '.' name ) new_suffix* @type_args@ args? | 'new' '.' name | 'import' ( '.' name | '(' one ( ',' one )? ','? ')' ) )",
+    "access": "( '.' ( name | PRIVATE ) | '[' expr ']' @suffix_more@ )",
+    "sent": "( '?.' ( name | PRIVATE | '[' expr ']' | @type_args@ args ) | @type_args@ args | template )",
+}
+
+#: Shared by both script dialects; @name@ marks parts, and where types may stand.
 _SCRIPT = r"""
 program = item* | member+ ;
 item = statement | import | export ;
@@ -160,15 +187,16 @@ class = @decorators@ @abstract@ 'class' id? @type_params@ ( 'extends' left @type
 member = ';' | 'static' block | @decorators@ @member_mods@ ( 'static'? ( 'async'? '*'? key | ( 'get' | 'set' ) key ) @optional@ @type_params@ '(' params? ')' @returns@ ( block @no_body@ ) | 'static'? key @optional@ @annotation@ ( '=' one )? end @index_member@ ) ;
 key = name | LIT | PRIVATE | '[' one ']' ;
 expr = one ( ',' one )* ;
-one = arrow | 'yield' ( '*'? one )? | unary ( binary unary )* ( '?' one ':' one )? ( assign one )? @as_more@ | PRIVATE 'in' unary ;
-binary = '||' | '&&' | '??' | '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | 'instanceof' | 'in' | '<<' | '>a' '>' | '>a' '>a' '>' | '+' | '-' | '*' | '/' | '%' | '**' @binary_more@ ;
+one = arrow | 'yield' ( '*'? one )? | PRIVATE 'in' power | ( @target@ | ( @target@ | @value@ ) ( @access@ | @sent@ )* @access@ ) assign one
+  | ( @plain@ ( '**' plain )* ( '**' prefixed )? | prefixed ) ( ( binary power )* | ( ( binary | '||' | '&&' ) power )* | ( ( binary | '??' ) power )* ) ( '?' one ':' one )? @as_more@ ;
+power = @plain@ ( '**' plain )* ( '**' prefixed )? | prefixed ;
+plain = @plain@ ;
+binary = '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | 'instanceof' | 'in' | '<<' | '>a' '>' | '>a' '>a' '>' | '+' | '-' | '*' | '/' | '%' @binary_more@ ;
 assign = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>a' '>=' | '>a' '>a' '>=' | '**=' | '&&=' | '||=' | '??=' ;
 arrow = 'async'? ( id | @type_params@ '(' params? ')' @returns@ ) '=>' ( one | block ) ;
-unary = ( '+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' ) unary | @cast@ left ( '++' | '--' )? @as_types@ ;
-left = primary suffix* ;
-primary = id | LIT | template | 'this' | 'super' | 'null' | 'true' | 'false' | '(' expr ')' | array | object | function | class | 'new' 'new'* ( id | 'this' | 'super' | '(' expr ')' | class | function | array | object | 'import' '.' name ) new_suffix* @type_args@ args? | 'new' '.' name | 'import' ( '.' name | '(' one ( ',' one )? ','? ')' ) ;
+prefixed = ( '+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' ) ( prefixed | plain ) ;
+left = ( @target@ | @value@ ) ( @access@ | @sent@ )* ;
 new_suffix = '.' ( name | PRIVATE ) | '[' expr ']' | template ;
-suffix = '.' ( name | PRIVATE ) | '?.' ( name | PRIVATE | '[' expr ']' | @type_args@ args ) | '[' expr ']' | @type_args@ args | template @suffix_more@ ;
 args = '(' ( '...'? one ( ',' '...'? one )* ','? )? ')' ;
 array = '[' ( ',' | '...'? one )* ']' ;
 object = '{' ( property ( ',' property )* ','? )? '}' ;
@@ -221,7 +249,9 @@ type_member = ( '+' | '-' )? 'readonly'? ( key '?'? ( ':' type )? | ( 'get' | 's
 
 
 def _fill(text: str, parts: dict[str, str]) -> str:
-    return re.sub(r"@(\w+)@", lambda m: parts.get(m[1], ""), text)
+    while "@" in (text := text.replace("'@'", "'\0'")):
+        text = re.sub(r"@(\w+)@", lambda m: parts.get(m[1], ""), text)
+    return text.replace("'\0'", "'@'")
 
 
 @cache
@@ -229,10 +259,10 @@ def grammar(language: str) -> Grammar:
     if language == "java":
         # Words that are keywords in some places only are names in all others.
         names = "( NAME | 'record' | 'sealed' | 'permits' | 'when' | 'non' )"
-        return Grammar(re.sub(r"\bNAME\b", names, JAVA), "unit")
+        return Grammar(re.sub(r"\bNAME\b", names, _fill(JAVA, _JAVA_PARTS)), "unit")
     if language == "python":
-        return Grammar(PYTHON, "file")
+        return Grammar(_fill(PYTHON, _PYTHON_PARTS), "file")
     if language == "javascript":
-        text = _fill(_SCRIPT, _SCRIPT_ONLY | {"import_equals": "'import' LIT end"})
+        text = _fill(_SCRIPT, _SCRIPT_PARTS | _SCRIPT_ONLY | {"import_equals": "'import' LIT end"})
         return Grammar(text, "program")
-    return Grammar(_fill(_SCRIPT, _TYPED) + _TYPES, "program")
+    return Grammar(_fill(_SCRIPT, _SCRIPT_PARTS | _TYPED) + _TYPES, "program")

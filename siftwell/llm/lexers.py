@@ -27,6 +27,10 @@ _JAVA = re.compile(
 )
 
 
+#: An integer that begins with 0 is octal.
+_OCTAL = re.compile(r"0[\d_]+[lL]?$")
+
+
 def java(text: str) -> list[tuple[str, bool]] | None:
     out, at, size = [], 0, len(text)
     while at < size:
@@ -44,7 +48,7 @@ def java(text: str) -> list[tuple[str, bool]] | None:
             if value == ">" and text.startswith(">=", at):
                 out[-1] = (">a", False)
         else:
-            if kind == "number" and at < size and (text[at].isalnum() or text[at] in "_$"):
+            if kind == "number" and (at < size and (text[at].isalnum() or text[at] in "_$") or _OCTAL.match(value) and ("8" in value or "9" in value)):
                 return None
             out.append(("LIT", False))
     return out
