@@ -96,7 +96,7 @@ PYTHON = r"""
 file = statement* ;
 statement = simple | compound ;
 simple = small ( ';' small )* ';'? NEWLINE ;
-small = items | tgt ( ':' test ( '=' rest )? | augment rest | ( ',' tgt )* ','? ( '=' tlist )* '=' rest ) | 'pass' | 'break' | 'continue' | 'return' items? | 'raise' ( test ( 'from' test )? )? | 'global' names | 'nonlocal' names | 'del' targets | 'assert' test ( ',' test )? | import | 'type' name type_params? '=' test ;
+small = rest | tgt ( ':' test ( '=' rest )? | augment rest | ( ',' tgt )* ','? ( '=' tlist )* '=' rest ) | 'pass' | 'break' | 'continue' | 'return' items? | 'raise' ( test ( 'from' test )? )? | 'global' names | 'nonlocal' names | 'del' targets | 'assert' test ( ',' test )? | import | 'type' name type_params? '=' test ;
 tlist = tgt ( ',' tgt )* ','? ;
 tgt = '*'? ( name | '(' tlist? ')' | '[' tlist? ']' | 'await'? atom ( '.' name | '(' arguments? ')' | '[' subscripts ']' )* ( '.' name | '[' subscripts ']' ) ) ;
 names = name ( ',' name )* ;
@@ -249,9 +249,10 @@ type_member = ( '+' | '-' )? 'readonly'? ( key '?'? ( ':' type )? | ( 'get' | 's
 
 
 def _fill(text: str, parts: dict[str, str]) -> str:
-    while "@" in (text := text.replace("'@'", "'\0'")):
-        text = re.sub(r"@(\w+)@", lambda m: parts.get(m[1], ""), text)
-    return text.replace("'\0'", "'@'")
+    found = 1  # parts name parts; the quoted signs '@' and '@=' are none
+    while found:
+        text, found = re.subn(r"@(\w+)@", lambda m: parts.get(m[1], ""), text)
+    return text
 
 
 @cache
