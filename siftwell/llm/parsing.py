@@ -2,8 +2,8 @@
 
 Each value is one function or method. It is cut into tokens of its language and run through the dialect
 grammars of that language together (a file of declarations, or members of a class body) by a generalised LL
-parser; a value that every dialect rejects makes its file a case. Values with the same sequence of token kinds
-are parsed once per Python worker.
+parser; a value that every dialect rejects makes its file a case. What the parser finds out about a state of its
+stacks it remembers per Python worker (``frontiers``).
 
 Defined cases: null, empty and blank code is no case; a byte order mark and either kind of line end are
 accepted; files of other extensions are not judged; the language column is not used; rows delivered twice
@@ -12,44 +12,33 @@ count once; very long functions are parsed whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm import lexers
+from siftwell.llm.frontiers import Frontiers
 from siftwell.llm.grammars import grammar
+from siftwell.llm.scanners import SCANNERS
 from siftwell.storage import spread
 
 #: Extensions and their languages.
 LANGUAGES = {".java": "java", ".py": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript"}
-_LEXERS = {"java": lexers.java, "python": lexers.python, "javascript": lexers.script, "typescript": lexers.script}
-_CACHE, _MEMORY = {}, 60_000
+
+
+@cache
+def _reader(language: str) -> tuple[Callable[[str], list[int] | None], Frontiers]:
+    rules = grammar(language)
+    return SCANNERS[language](rules.kinds), Frontiers(rules)
 
 
 def parses(code: str, language: str) -> bool:
     """Does some dialect of the language accept the code?"""
-    tokens = _LEXERS[language](code.lstrip("\ufeff"))
-    if tokens is None:
-        return False
-    rules = grammar(language)
-    kinds = rules.kinds
-    numbers = []
-    for token, _ in tokens:
-        number = kinds.get(token)
-        if number is None:
-            return False
-        numbers.append(number)
-    fresh = [f for _, f in tokens] + [False]
-    key = (language, tuple(numbers), bytes(fresh))
-    known = _CACHE.get(key)
-    if known is None:
-        if len(_CACHE) >= _MEMORY:
-            _CACHE.clear()
-        known = rules.accepts(numbers, fresh, frozenset((kinds.get("}", -1),)))
-        _CACHE[key] = known
-    return known
+    scan, frontiers = _reader(language)
+    symbols = scan(code.lstrip("\ufeff"))
+    return symbols is not None and frontiers.accepts(symbols)
 
 
 def judged(functions: DataFrame) -> DataFrame:
